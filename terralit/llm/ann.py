@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import parts, ready, written
 
-K, RECALL = 10, 0.97
-BRANCH, LEAF, ROUNDS = 12, 48, 6
+K, RECALL = 10, 0.95
+BRANCH, LEAF, ROUNDS = 8, 128, 6
 SHARD_ROWS, CALIBRATION = 16_384, 200
 
 
@@ -33,88 +33,107 @@ def kmeans(x: np.ndarray, k: int, r: np.random.Generator, rounds: int = ROUNDS)
 
 
 class Tree:
-    """Nodes hold the centres of their children; leaves hold rows.  All rows are in exactly one leaf."""
-
-    def __init__(self, x: np.ndarray, seed: int = 5):
-        self.x, r = x, np.random.default_rng(seed)
-        self.nodes: list[tuple[np.ndarray, list[int]] | None] = []
-        self.rows: list[np.ndarray | None] = []
-        self.leaves = 0
-
-        def grow(rows: np.ndarray) -> int:
-            me = len(self.nodes)
-            self.nodes.append(None)
-            self.rows.append(None)
+    """Nodes have children, each with a centre, or are leaves: slices of the rows, which are kept in the
+    order of their leaves.  Every row is in exactly one leaf."""
+
+    def __init__(self, x: np.ndarray, ids: np.ndarray, seed: int = 5):
+        r = np.random.default_rng(seed)
+        self.children: list[list[tuple[int, int]]] = []  # of each node: (centre, node)
+        self.slices: list[tuple[int, int]] = []
+        centres, order = [np.zeros((0, x.shape[1]))], []
+        self.leaves = at = made = 0
+        todo = [(np.arange(len(x)), None)] if len(x) else []
+        while todo:
+            rows, above = todo.pop()
+            me = len(self.children)
+            self.children.append([])
+            self.slices.append((0, 0))
+            if above is not None:
+                self.children[above[0]].append((above[1], me))
             if len(rows) > LEAF:
                 c = kmeans(x[rows], BRANCH, r)
                 own = _sq(x[rows], c).argmin(1)
                 kinds = np.unique(own)
                 if len(kinds) > 1:
-                    self.nodes[me] = (c[kinds], [grow(rows[own == k]) for k in kinds])
-                    return me
-            self.rows[me] = rows  # small, or of equal rows that no centre parts
-            self.leaves += 1
-            return me
-
-        if len(x):
-            grow(np.arange(len(x)))
-
-    def bins(self, q: np.ndarray):
-        """The leaves in best-bin-first order: of all branches not yet taken, the one whose centre is
-        nearest comes next."""
-        heap = [(0.0, 0)] if self.nodes else []
+                    centres.append(c[kinds])
+                    todo += [(rows[own == k], (me, made + j)) for j, k in enumerate(kinds)]
+                    made += len(kinds)
+                    continue
+            self.slices[me] = (at, at + len(rows))  # few rows, or equal ones that no centre parts
+            order.append(rows)
+            at, self.leaves = at + len(rows), self.leaves + 1
+        order = np.concatenate([*order, np.zeros(0, np.int64)])
+        self.x, self.ids = x[order], ids[order]
+        self.short, self.norm = self.x.astype(np.float32), (self.x * self.x).sum(1).astype(np.float32)
+        self.centres = np.concatenate(centres)
+
+    def leaves_of(self, d: list[float]):
+        """Leaves in best-bin-first order for a query with distances d to all centres: of the branches
+        not yet taken the one whose centre is nearest comes next."""
+        heap = [(0.0, 0)] if self.children else []
         while heap:
-            _, i = heapq.heappop(heap)
-            while self.nodes[i] is not None:
-                centres, children = self.nodes[i]
-                d = ((centres - q) ** 2).sum(1)
-                order = d.argsort()
-                for j in order[1:]:
-                    heapq.heappush(heap, (float(d[j]), children[j]))
-                i = children[order[0]]
-            yield self.rows[i]
-
-    def search(self, q: np.ndarray, k: int, visits: int, ids: np.ndarray, own: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, squared distances) of the k nearest rows with another id in the first `visits` leaves;
-        more leaves as long as there are fewer than k."""
-        some, have = [], 0
-        for n, rows in enumerate(self.bins(q)):
+            i = heapq.heappop(heap)[1]
+            while below := self.children[i]:
+                best = min(below, key=lambda b: d[b[0]])
+                for b in below:
+                    if b is not best:
+                        heapq.heappush(heap, (d[b[0]], b[1]))
+                i = best[1]
+            yield self.slices[i]
+
+    def search(self, q: np.ndarray, k: int, visits: int, own: np.ndarray, block: int = 256):
+        """For each query the (ids, squared distances) of its k nearest rows of another id in the first
+        `visits` leaves, and in more as long as those hold fewer than k others."""
+        for lo in range(0, len(q), block):
+            some = q[lo:lo + block]
+            far = _sq(some, self.centres)
+            for j, v in enumerate(some):
+                yield self.nearest(v, self.take(far[j].tolist(), k, visits), k, own[lo + j])
+
+    def take(self, d: list[float], k: int, visits: int) -> list[tuple[int, int]]:
+        out, have = [], 0
+        for n, s in enumerate(self.leaves_of(d)):
             if n >= visits and have > k:
                 break
-            some.append(rows)
-            have += len(rows)
-        return nearest(self.x, np.concatenate(some) if some else np.zeros(0, np.int64), q, k, ids, own)
-
-
-def nearest(x, rows, q, k, ids, own):
-    rows = rows[ids[rows] != own]
-    d = ((x[rows] - q) ** 2).sum(1)
-    if len(d) > k:
-        cut = np.partition(d, k - 1)[k - 1]
-        m = d <= cut  # ties at the cut stay until the ids decide
-        rows, d = rows[m], d[m]
-    order = np.lexsort((ids[rows], d))[:k]
-    return ids[rows[order]], d[order]
-
-
-def calibrate(tree: Tree, ids: np.ndarray, k: int, recall: float, sample: np.ndarray) -> int:
+            out.append(s)
+            have += s[1] - s[0]
+        return out
+
+    def nearest(self, v: np.ndarray, slices: list[tuple[int, int]], k: int, own: int):
+        """Exact ranks within the slices: single precision sifts, double precision and ids decide."""
+        if not slices:
+            return np.zeros(0, np.int64), np.zeros(0)
+        w = (-2 * v).astype(np.float32)
+        rough = np.concatenate([self.norm[a:b] + self.short[a:b] @ w for a, b in slices])
+        at = np.concatenate([np.arange(a, b) for a, b in slices])
+        m = self.ids[at] != own
+        at, rough = at[m], rough[m]
+        if len(at) > k:
+            room = 1e-4 * (1 + float(v @ v)) + 1e-5 * float(np.abs(rough).max())
+            at = at[rough <= np.partition(rough, k - 1)[k - 1] + room]
+        d = ((self.x[at] - v) ** 2).sum(1)
+        order = np.lexsort((self.ids[at], d))[:k]
+        return self.ids[at[order]], d[order]
+
+
+def calibrate(tree: Tree, k: int, recall: float, sample: np.ndarray) -> int:
     """The least number of leaf visits, widened step by step, with which the sampled rows find `recall`
     of their exact neighbours in this shard."""
-    if tree.leaves <= 1:
+    if tree.leaves <= 1 or not len(sample):
         return 1
-    rank, at = np.zeros(len(ids), np.int64), {v: j for j, v in enumerate(ids)}
-    need: list[np.ndarray] = []
-    for i in sample:
-        want, _ = nearest(tree.x, np.arange(len(ids)), tree.x[i], k, ids, ids[i])
-        for n, rows in enumerate(tree.bins(tree.x[i])):
-            rank[rows] = n
-        need.append(rank[[at[w] for w in want]] + 1)
-    all_ = np.concatenate([*need, np.zeros(0, np.int64)])
-    if not len(all_):
-        return tree.leaves
+    need = []
+    far = _sq(tree.x[sample], tree.centres)
+    rank = np.zeros(len(tree.x), np.int64)
+    place = {i: j for j, i in enumerate(tree.ids)}
+    for n, i in enumerate(sample):
+        want, _ = tree.nearest(tree.x[i], [(0, len(tree.x))], k, tree.ids[i])
+        for m, (a, b) in enumerate(tree.leaves_of(far[n].tolist())):
+            rank[a:b] = m
+        need += [rank[place[w]] + 1 for w in want]
+    need = np.array(need)
     visits = 1
-    while (all_ <= visits).mean() < recall and visits < tree.leaves:
-        visits += max(1, visits // 4)
+    while len(need) and (need <= visits).mean() < recall and visits < tree.leaves:
+        visits += max(1, visits // 8)
     return visits
 
 
@@ -211,12 +230,10 @@ def neighbours(vectors: DataFrame, k: int = K, recall: float = RECALL, ident: st
         pdf = pdf.sort_values("id", kind="stable")
         x, ids = np.stack(pdf["v"].to_numpy()), pdf["id"].to_numpy(np.int64)
         home = pdf["home"].to_numpy(bool)
-        tree, own = Tree(x[home]), ids[home]
-        pick = np.random.default_rng(3).permutation(len(own))[:CALIBRATION]
-        visits = calibrate(tree, own, k, recall, pick)
-        q, n, d = [], [], []
-        for i, v in zip(ids, x):
-            there, dist = tree.search(v, k, visits, own, i)
+        tree = Tree(x[home], ids[home])
+        visits = calibrate(tree, k, recall, np.random.default_rng(3).permutation(int(home.sum()))[:CALIBRATION])
+        q, n, d = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        for i, (there, dist) in zip(ids, tree.search(x, k, visits, ids)):
             q.append(np.full(len(there), i)), n.append(there), d.append(dist)
         return pd.DataFrame({"id": np.concatenate(q), "n": np.concatenate(n), "d": np.concatenate(d)})
 

@@ -10,7 +10,7 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from .common import ready
 
@@ -342,9 +342,8 @@ def model(path: str) -> Pieces:
     return Pieces.load(path)
 
 
-def _batches(df: DataFrame, column: str, name: str, kind: str, convert) -> DataFrame:
+def _batches(df: DataFrame, column: str, name: str, kind: T.DataType, convert) -> DataFrame:
     """df with `name` made from `column` in Arrow batches, all other columns passed on untouched."""
-    from pyspark.sql import types as T
     names = [c for c in df.columns if c != name]
     at = names.index(column)
     schema = T.StructType([f for f in df.schema.fields if f.name != name]).add(name, kind)
@@ -364,11 +363,11 @@ def encode(df: DataFrame, column: str = "text", path: str = MODEL) -> DataFrame:
     model lacks become byte pieces.  Rows are independent and nothing is shuffled; a column tokens is
     replaced, all others are kept."""
     ready(df.sparkSession)
-    return _batches(df, column, "tokens", "array<int>", lambda a: model(path).encode_many(a))
+    return _batches(df, column, "tokens", T.ArrayType(T.IntegerType()), lambda a: model(path).encode_many(a))
 
 
 def decode(df: DataFrame, column: str = "tokens", path: str = MODEL, name: str = "decoded") -> DataFrame:
     """df with decoded (string): the text of an array of ids.  Null gives null, no tokens an empty text.
     What encode() made of a text without a NUL or U+2581 decodes to that text."""
     ready(df.sparkSession)
-    return _batches(df, column, name, "string", lambda a: pc.cast(model(path).decode_many(a), pa.string()))
+    return _batches(df, column, name, T.StringType(), lambda a: pc.cast(model(path).decode_many(a), pa.string()))

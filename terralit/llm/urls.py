@@ -146,10 +146,9 @@ def blocklist(spark: SparkSession, entries: tuple[str, ...] = BLOCKED) -> DataFr
     return spark.createDataFrame([(e,) for e in entries], "entry string")
 
 
-_LIST = ", ".join(f"('{e}')" for e in BLOCKED)
+_LIST = ", ".join(f"'{e}'" for e in BLOCKED)
 SQL = f"""
-WITH b(entry) AS (VALUES {_LIST}),
-n AS (SELECT page_id, url, regexp_replace(regexp_replace(trim(url), '^[a-zA-Z][a-zA-Z0-9+.-]*://', ''), '#.*$', '') AS n FROM pages),
+WITH n AS (SELECT page_id, url, regexp_replace(regexp_replace(trim(url), '^[a-zA-Z][a-zA-Z0-9+.-]*://', ''), '#.*$', '') AS n FROM pages),
 h AS (SELECT page_id, url, lower(regexp_replace(regexp_replace(regexp_extract(n, '^[^/?]*', 0), '^.*@', ''), ':[0-9]*$', '')) AS host,
              regexp_extract(n, '^[^/?]*(.*)$', 1) AS rest FROM n),
 p AS (SELECT page_id, url, host, string_split(host, '.') AS ls, list_filter(string_split(regexp_extract(rest, '^[^?]*', 0), '/'), lambda x: x <> '') AS ps,
@@ -158,6 +157,6 @@ c AS (SELECT page_id, url, list_concat(list_concat(
         list_transform(range(1, greatest(len(ls), 2)), lambda i: array_to_string(ls[i:], '.')),
         list_transform(range(1, len(ps) + 1), lambda i: host || '/' || array_to_string(ps[1:i], '/'))),
         CASE WHEN q <> '' THEN [host || CASE WHEN len(ps) > 0 THEN '/' || array_to_string(ps, '/') ELSE '' END || q] ELSE [] END) AS cs FROM p),
-m AS (SELECT page_id, url, list_filter(cs, lambda x: list_contains((SELECT list(entry) FROM b), x)) AS ms FROM c)
+m AS (SELECT page_id, url, list_filter(cs, lambda x: list_contains([{_LIST}], x)) AS ms FROM c)
 SELECT page_id, url, len(ms) > 0 AS blocked, ms[1] AS matched FROM m
 """
