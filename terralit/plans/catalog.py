@@ -2,6 +2,590 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W, functions as F
+
+from ..functions import coords, text as tx
+from ..operators import extraction as ex, library as lib
+from ..sources.tables import PRELUDE, Domain
+
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 FLAGSHIP = "extract_pipeline"
+ME, TITLE, TAG = 7, "urgent 1", "NATION_1"
+c = F.col
+
+
+def q(sql: str | None = None):
+    """Register a function of the domain under its name, with its SQL over the same tables."""
+    def put(f):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(Domain(spark, sf_dir))
+        if sql:
+            SQL[f.__name__] = PRELUDE + sql
+        return f
+    return put
+
+
+# --- sources and sinks -------------------------------------------------------------------
+
+@q("SELECT doc_id, length(trim(text)) >= 10 AND len(list_filter(regexp_extract_all(text, '[\\p{L}\\p{M}\\p{N}_]+'), lambda w: regexp_full_match(w, '[a-zA-Z]{2,}'))) >= 5 AS accepted FROM documents")
+def src_pdf_validate(d):
+    return d.raw("documents").select("doc_id", ((F.length(F.trim("text")) >= 10) & (F.regexp_count("text", F.lit(r"\b[a-zA-Z]{2,}\b")) >= 5)).alias("accepted"))
+
+
+@q("SELECT doc_id, string_agg(text, chr(10) || chr(10) ORDER BY span_idx) AS text FROM section GROUP BY doc_id")
+def src_pdf_plain(d):
+    return d.section.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("span_idx", "text"))), lambda x: x["text"]), "\n\n").alias("text"))
+
+
+def _text_tables(d):
+    s = d.site
+    return (s.groupBy("item_id").agg(F.sort_array(F.collect_list(F.struct("id", "name", c("latitude").cast("decimal(9,2)").cast("string").alias("a"), c("longitude").cast("decimal(9,2)").cast("string").alias("b")))).alias("r"))
+            .select("item_id", F.concat(F.lit("Site\tLatitude\tLongitude\tNote\n\n"), F.array_join(F.transform("r", lambda x: F.concat(x["name"], F.lit("  "), x["a"], F.lit("\t\t"), x["b"])), "\n")).alias("tbl")))
+
+
+_ROWS = "r AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY id) - 1 AS INT) AS row_idx, name, CAST(CAST(latitude AS DECIMAL(9,2)) AS VARCHAR) AS a, CAST(CAST(longitude AS DECIMAL(9,2)) AS VARCHAR) AS b, latitude, longitude FROM site)"
+
+
+@q(f", {_ROWS} SELECT item_id, row_idx, name AS cell_1, a AS cell_2, b AS cell_3, '' AS cell_4 FROM r")
+def src_table_text(d):
+    t = ex.table_rows(_text_tables(d), "tbl")
+    return t.select("item_id", "row_idx", *[c("cells")[i].alias(f"cell_{i + 1}") for i in range(4)])
+
+
+@q(f", {_ROWS} SELECT item_id, row_idx, name, latitude AS lat, longitude AS lon, 0.9::DOUBLE AS confidence FROM r WHERE latitude BETWEEN -90 AND 90 AND longitude BETWEEN -180 AND 180")
+def coord_table(d):
+    return ex.table_coordinates(ex.table_rows(_text_tables(d), "tbl")).select("item_id", "row_idx", "name", "lat", "lon", "confidence")
+
+
+@q("SELECT CASE WHEN attachment IS NULL THEN 'failed' WHEN id % 3 = 0 THEN 'skipped' ELSE 'downloaded' END AS status, count(*) AS n FROM item GROUP BY 1")
+def src_zotero_files_batch(d):
+    return d.item.groupBy(F.when(c("attachment").isNull(), "failed").when(c("id") % 3 == 0, "skipped").otherwise("downloaded").alias("status")).agg(F.count("*").alias("n"))
+
+
+@q("SELECT id AS text, entity_type AS type, section, context, confidence, latitude, longitude FROM site")
+def sink_entities_df(d):
+    return d.site.select(c("id").alias("text"), c("entity_type").alias("type"), "section", "context", "confidence", "latitude", "longitude")
+
+
+@q("SELECT item_id % 16 AS bucket, count(*) AS n, round(sum(confidence), 6) AS total FROM site GROUP BY 1")
+def sink_db(d):
+    return d.site.groupBy((c("item_id") % 16).alias("bucket")).agg(F.count("*").alias("n"), F.round(F.sum("confidence"), 6).alias("total"))
+
+
+# --- projections and rules ---------------------------------------------------------------
+
+@q("""SELECT i.id, i.title, s.ids AS site_ids, t.tags FROM item i LEFT JOIN (SELECT item_id, list(id ORDER BY id) AS ids FROM site GROUP BY 1) s ON s.item_id = i.id
+LEFT JOIN (SELECT item_id, list(tag_id ORDER BY tag_id) AS tags FROM link GROUP BY 1) t ON t.item_id = i.id""")
+def proj_item_public(d):
+    s = d.site.groupBy(c("item_id").alias("id")).agg(F.sort_array(F.collect_list("id")).alias("site_ids"))
+    t = d.link.groupBy(c("item_id").alias("id")).agg(F.sort_array(F.collect_list("tag_id")).alias("tags"))
+    return d.item.select("id", "title").join(s, "id", "left").join(t, "id", "left").select("id", "title", "site_ids", "tags")
+
+
+@q("SELECT t.id, t.name, l.items FROM tag t LEFT JOIN (SELECT tag_id, list(item_id ORDER BY item_id) AS items FROM link GROUP BY 1) l ON l.tag_id = t.id")
+def proj_tag_public(d):
+    l = d.link.groupBy(c("tag_id").alias("id")).agg(F.sort_array(F.collect_list("item_id")).alias("items"))
+    return d.tag.join(l, "id", "left").select("id", "name", "items")
+
+
+@q("SELECT item_id, 'author' AS creator_type, last_name FROM creator WHERE item_id % 5 <> 0")
+def proj_import_item(d):
+    made = F.array(F.struct(F.lit(None).cast("string").alias("creatorType"), F.lit(None).cast("string").alias("firstName"), c("last_name").alias("lastName")))
+    from ..sources.tables import imported_items
+    raw = d.creator.select(c("item_id").cast("string").alias("key"), F.lit(1).alias("version"), F.struct(
+        F.when(c("item_id") % 5 == 0, "parent").alias("parentItem"), F.lit("article").alias("itemType"), F.lit("t").alias("title"), made.alias("creators")).alias("data"))
+    return imported_items(raw).select(c("key").cast("bigint").alias("item_id"), F.explode("creators").alias("x")).select("item_id", c("x.creator_type").alias("creator_type"), c("x.last_name").alias("last_name"))
+
+
+@q("SELECT id, key, regexp_full_match(key, '[A-Z0-9]{8}') AS ok FROM item")
+def val_item_key(d):
+    return d.item.select("id", "key", c("key").rlike("^[A-Z0-9]{8}$").alias("ok"))
+
+
+@q("SELECT id, length(title) <= 255 AND length(coalesce(abstract_note, '')) <= 8192 AND length(item_type) BETWEEN 1 AND 64 AND length(coalesce(publication_title, '')) <= 255 AS ok FROM item")
+def val_item_lengths(d):
+    n = lambda x: F.length(F.coalesce(c(x), F.lit("")))
+    return d.item.select("id", ((n("title") <= 255) & (n("abstract_note") <= 8192) & n("item_type").between(1, 64) & (n("publication_title") <= 255)).alias("ok"))
+
+
+@q("SELECT id, latitude BETWEEN -90 AND 90 AND longitude BETWEEN -180 AND 180 AND NOT (latitude = 0 AND longitude = 0) AS ok FROM site")
+def val_coord(d):
+    return d.site.select("id", coords.valid(c("latitude"), c("longitude")).alias("ok"))
+
+
+@q("SELECT id, latitude BETWEEN -90 AND 90 AND longitude BETWEEN -180 AND 180 AS ok FROM site")
+def val_coord_table(d):
+    return d.site.select("id", coords.valid(c("latitude"), c("longitude"), True).alias("ok"))
+
+
+@q("SELECT id, length(name) >= 1 AND confidence BETWEEN 0 AND 1 AS ok FROM site")
+def val_entity(d):
+    return d.site.select("id", ((F.length("name") >= 1) & c("confidence").between(0, 1)).alias("ok"))
+
+
+@q("SELECT id, CASE WHEN n = '' THEN '?' ELSE n END AS initials FROM (SELECT id, upper(array_to_string(list_transform(list_filter(string_split(name, ' '), lambda x: x <> '')[1:3], lambda x: x[1]), '')) AS n FROM (SELECT id, full_name AS name FROM usr))")
+def proj_initials(d):
+    w = F.slice(F.filter(F.split("full_name", " "), lambda x: x != ""), 1, 3)
+    n = F.upper(F.array_join(F.transform(w, lambda x: F.substring(x, 1, 1)), ""))
+    return d.user.select("id", F.when(n == "", "?").otherwise(n).alias("initials"))
+
+
+_LABEL = "coalesce(nullif(journal, ''), nullif(substr(publication_title, 1, 20), ''), nullif(substr(title, 1, 20), ''), '?')"
+
+
+@q(f"SELECT id, {_LABEL} AS label FROM item")
+def proj_node_label(d):
+    return d.item.select("id", lib.node_label(c("title"), c("publication_title"), c("journal")).alias("label"))
+
+
+@q("SELECT doc_id, span_idx, CASE WHEN text = '' THEN 'Untitled' WHEN length(text) > 30 THEN substr(text, 1, 27) || '...' ELSE text END AS label FROM section")
+def proj_format_label(d):
+    return d.section.select("doc_id", "span_idx", F.when(c("text") == "", "Untitled").when(F.length("text") > 30, F.concat(F.substring("text", 1, 27), F.lit("..."))).otherwise(c("text")).alias("label"))
+
+
+@q("SELECT id, round(CASE entity_type WHEN 'COORDINATE' THEN 30 WHEN 'GPE' THEN 20 WHEN 'LOC' THEN 25 ELSE 22 END * (0.5 + 1.5 * confidence), 6) AS size FROM site")
+def proj_importance_size(d):
+    base = F.when(c("entity_type") == "COORDINATE", 30).when(c("entity_type") == "GPE", 20).when(c("entity_type") == "LOC", 25).otherwise(22)
+    return d.site.select("id", F.round(base * (0.5 + 1.5 * c("confidence")), 6).alias("size"))
+
+
+@q("SELECT id, 'hsl(210, 70%, ' || CAST(round(70 - 30 * confidence) AS INT) || '%)' AS color FROM site")
+def proj_importance_color(d):
+    return d.site.select("id", F.concat(F.lit("hsl(210, 70%, "), F.round(70 - 30 * c("confidence")).cast("int").cast("string"), F.lit("%)")).alias("color"))
+
+
+@q("SELECT id, CASE method WHEN 'regex' THEN '#1976d2' WHEN 'ner' THEN '#43a047' ELSE '#9e9e9e' END AS color, round(1 + 3 * confidence, 6) AS width FROM site")
+def proj_node_edge_style(d):
+    return d.site.select("id", F.when(c("method") == "regex", "#1976d2").when(c("method") == "ner", "#43a047").otherwise("#9e9e9e").alias("color"), F.round(1 + 3 * c("confidence"), 6).alias("width"))
+
+
+@q("SELECT id, CASE WHEN confidence >= 0.9 THEN 'success' WHEN confidence >= 0.75 THEN 'primary' WHEN confidence >= 0.5 THEN 'warning' ELSE 'error' END AS bucket FROM site")
+def proj_conf_bucket(d):
+    return d.site.select("id", F.when(c("confidence") >= 0.9, "success").when(c("confidence") >= 0.75, "primary").when(c("confidence") >= 0.5, "warning").otherwise("error").alias("bucket"))
+
+
+@q("SELECT id, array_to_string(list_transform(string_split(lower(section), '_'), lambda w: upper(w[1]) || w[2:]), ' ') AS label FROM site")
+def proj_format_section(d):
+    return d.site.select("id", F.initcap(F.replace(F.lower("section"), F.lit("_"), F.lit(" "))).alias("label"))
+
+
+@q("""SELECT event_id, CASE WHEN m < 1 THEN 'Just now' WHEN m < 60 THEN m || ' min ago' WHEN m < 1440 THEN (m // 60) || CASE WHEN m // 60 = 1 THEN ' hour ago' ELSE ' hours ago' END ELSE strftime(ts, '%Y-%m-%d') END AS label
+FROM (SELECT event_id, ts, date_diff('second', ts, (SELECT max(ts) FROM task)) // 60 AS m FROM task)""")
+def proj_relative_time(d):
+    now = d.task.agg(F.max("ts").alias("now"))
+    t = d.task.crossJoin(F.broadcast(now)).withColumn("m", F.floor(F.timestamp_diff("SECOND", c("ts"), c("now")) / 60))
+    h = F.floor(c("m") / 60)
+    return t.select("event_id", F.when(c("m") < 1, "Just now").when(c("m") < 60, F.concat(c("m").cast("string"), F.lit(" min ago")))
+                    .when(c("m") < 1440, F.concat(h.cast("string"), F.when(h == 1, " hour ago").otherwise(" hours ago"))).otherwise(F.date_format("ts", "yyyy-MM-dd")).alias("label"))
+
+
+@q("SELECT event_id, CASE state WHEN 'SUCCESS' THEN 'success' WHEN 'FAILURE' THEN 'error' WHEN 'STARTED' THEN 'primary' ELSE 'grey' END AS color FROM task")
+def proj_task_style(d):
+    return d.task.select("event_id", F.when(c("state") == "SUCCESS", "success").when(c("state") == "FAILURE", "error").when(c("state") == "STARTED", "primary").otherwise("grey").alias("color"))
+
+
+@q("SELECT id, CASE WHEN validation >= 0.8 THEN 'excellent' WHEN validation >= 0.7 THEN 'good' WHEN validation >= 0.5 THEN 'fair' ELSE 'poor' END AS label FROM site")
+def proj_quality_label(d):
+    return d.site.select("id", tx.quality_label(c("validation")).alias("label"))
+
+
+# --- filters -----------------------------------------------------------------------------
+
+def _f(name: str, sql: str, f):
+    f.__name__ = name
+    q(sql)(f)
+
+
+_f("flt_owner", f"SELECT id, title FROM item WHERE owner_id = {ME}", lambda d: lib.visible(d.item, ME).select("id", "title"))
+_f("flt_owner_superuser", "SELECT id, title FROM item", lambda d: lib.visible(d.item, 0, True).select("id", "title"))
+_SEARCH = f"SELECT id, title FROM item WHERE title ILIKE '%{TITLE}%' OR id IN (SELECT item_id FROM link JOIN tag ON tag.id = tag_id WHERE name ILIKE '%{TAG}%')"
+_f("flt_search", _SEARCH, lambda d: lib.search(d.item, d.link, d.tag, TITLE, TAG).select("id", "title"))
+_f("flt_search_count", f"SELECT count(*) AS count FROM ({_SEARCH} ORDER BY id LIMIT 10)", lambda d: lib.page(lib.search(d.item, d.link, d.tag, TITLE, TAG), ["id"], 0, 10).agg(F.count("*").alias("count")))
+_f("flt_item_by_id", f"SELECT id, title FROM item WHERE id = 11 AND owner_id = (SELECT owner_id FROM item WHERE id = 11)", lambda d: d.item.filter("id = 11").select("id", "title"))
+_f("flt_attachment_null", "SELECT id FROM item WHERE attachment IS NULL", lambda d: d.item.filter(c("attachment").isNull()).select("id"))
+_f("flt_has_sites", "SELECT id FROM item WHERE id IN (SELECT item_id FROM site)", lambda d: d.item.select("id").join(d.site.select(c("item_id").alias("id")), "id", "left_semi"))
+_f("flt_no_sites", "SELECT id FROM item WHERE id NOT IN (SELECT item_id FROM site)", lambda d: d.item.select("id").join(d.site.select(c("item_id").alias("id")), "id", "left_anti"))
+_f("flt_item_type", "SELECT id FROM item WHERE item_type = '1-URGENT'", lambda d: d.item.filter("item_type = '1-URGENT'").select("id"))
+_f("flt_papers_text", "SELECT id FROM item WHERE contains(lower(title), 'low 3') OR contains(lower(abstract_note), 'status p') OR contains(lower(publication_title), 'studies 2')",
+   lambda d: d.item.filter(F.lower("title").contains("low 3") | F.lower("abstract_note").contains("status p") | F.lower("publication_title").contains("studies 2")).select("id"))
+_f("flt_sites", "SELECT s.id FROM site s JOIN item i ON i.id = s.item_id WHERE NOT is_manual AND (contains(lower(name), '12') OR contains(lower(i.title), 'high') OR contains(lower(context), 'table'))",
+   lambda d: d.site.filter(~c("is_manual")).join(d.item.select(c("id").alias("item_id"), "title"), "item_id")
+   .filter(F.lower("name").contains("12") | F.lower("title").contains("high") | F.lower("context").contains("table")).select("id"))
+_f("flt_papers_store", "SELECT id FROM item WHERE contains(lower(title), 'medium') AND journal = 'J. Land. 3' AND id IN (SELECT item_id FROM creator WHERE contains(lower(last_name), '1'))",
+   lambda d: d.item.filter(F.lower("title").contains("medium") & (c("journal") == "J. Land. 3")).join(
+       d.creator.groupBy(c("item_id").alias("id")).agg(F.collect_set("last_name").alias("authors")), "id").filter(F.exists("authors", lambda a: F.lower(a).contains("1"))).select("id"))
+_f("flt_extraction_results", "SELECT id FROM site WHERE is_manual AND section = 'methods' AND confidence >= 0.7 AND (context IS NULL OR contains(lower(context), 'site 1'))",
+   lambda d: d.site.filter(c("is_manual") & (c("section") == "methods") & (c("confidence") >= 0.7) & (c("context").isNull() | F.lower("context").contains("site 1"))).select("id"))
+_f("flt_graph", "SELECT 'item_' || item_id AS source, 'tag_' || tag_id AS target FROM link JOIN item ON item.id = item_id JOIN tag ON tag.id = tag_id WHERE contains(lower(title), 'high') AND contains(lower(name), '_2')",
+   lambda d: lib.edges(d.link, d.item.filter(F.lower("title").contains("high")), d.tag.filter(F.lower("name").contains("_2"))))
+_f("flt_tag_search", "SELECT id, name FROM tag WHERE contains(lower(name), 'nation_2')", lambda d: d.tag.filter(F.lower("name").contains("nation_2")).select("id", "name"))
+_f("flt_confidence", "SELECT id FROM site WHERE entity_type = 'COORDINATE' OR confidence >= 0.5", lambda d: ex.confident(d.site).select("id"))
+_f("flt_high_conf", "SELECT id FROM site WHERE confidence >= 0.8 AND latitude IS NOT NULL", lambda d: d.site.filter((c("confidence") >= 0.8) & c("latitude").isNotNull()).select("id"))
+_f("flt_url_http", "SELECT page_id, url, starts_with(url, 'http') AS ok FROM pages", lambda d: d.raw("pages").select("page_id", "url", c("url").startswith("http").alias("ok")))
+_f("flt_processed", "SELECT id, attachment IS NOT NULL AS processed, id IN (SELECT item_id FROM site) AS with_locations FROM item",
+   lambda d: d.item.join(d.site.select(c("item_id").alias("id")).distinct().withColumn("h", F.lit(True)), "id", "left").select("id", c("attachment").isNotNull().alias("processed"), F.coalesce("h", F.lit(False)).alias("with_locations")))
+_f("flt_geo_labels", "SELECT id FROM site WHERE entity_type IN ('LOC', 'GPE', 'FAC', 'NORP')", lambda d: d.site.filter(c("entity_type").isin("LOC", "GPE", "FAC", "NORP")).select("id"))
+_f("flt_force", "SELECT id FROM item WHERE id = 11 OR id NOT IN (SELECT item_id FROM site)",
+   lambda d: d.item.filter("id = 11").select("id").union(d.item.filter("id <> 11").select("id").join(d.site.select(c("item_id").alias("id")), "id", "left_anti")))
+
+_SECTION_SQL = """CASE WHEN regexp_matches(h, '{w}') OR regexp_matches(substr(s, 1, 80), '{w}') THEN 'study_area'
+ WHEN m AND (contains(h, 'data collection') OR contains(substr(s, 1, 50), 'data collection')) THEN 'data collection'
+ WHEN m AND (contains(h, 'field method') OR contains(substr(s, 1, 50), 'field method')) THEN 'field methods' WHEN m THEN 'methods'
+ WHEN contains(h, 'abstract') OR starts_with(s, 'abstract') THEN 'abstract' WHEN regexp_matches(h, 'result|finding') OR starts_with(s, 'result') THEN 'results'
+ WHEN contains(h, 'discuss') OR starts_with(s, 'discuss') THEN 'discussion' WHEN regexp_matches(h, 'conclusion|summary|outlook') OR regexp_matches(s, '^(conclusion|outlook)') THEN 'conclusion'
+ WHEN regexp_matches(h, 'intro|background') OR regexp_matches(s, '^(intro|background)') THEN 'introduction'
+ WHEN regexp_matches(h, 'reference|bibliography|acknowledgment') OR regexp_matches(s, '^(reference|bibliograph|acknowledgment)') THEN 'references' ELSE 'other' END""".format(w="|".join(tx.SITE_WORDS))
+_CLASSED = f""", k AS (SELECT doc_id, span_idx, text, {_SECTION_SQL} AS class FROM (SELECT *, regexp_matches(h, 'method|material|experiment|data|sampling') OR regexp_matches(s, '^(method|data|material|sampling)') AS m
+ FROM (SELECT *, lower(heading) AS h, lower(substr(trim(text), 1, 100)) AS s FROM section)))"""
+
+
+def _classed(d):
+    return d.section.withColumn("class", tx.section_class(c("heading"), c("text")))
+
+
+_f("sec_classify", _CLASSED + " SELECT doc_id, span_idx, class FROM k", lambda d: _classed(d).select("doc_id", "span_idx", "class"))
+_f("flt_section_relevant", _CLASSED + " SELECT doc_id, span_idx FROM k WHERE class IN ('study_area', 'data collection', 'field methods', 'methods', 'abstract')",
+   lambda d: _classed(d).filter(c("class").isin(*tx.RELEVANT)).select("doc_id", "span_idx"))
+
+# --- joins -------------------------------------------------------------------------------
+
+_f("join_item_sites_loc", "SELECT p.id, s.id AS site_id, s.latitude FROM (SELECT id FROM item ORDER BY id LIMIT 10 OFFSET 5) p LEFT JOIN site s ON s.item_id = p.id",
+   lambda d: lib.page(d.item.select("id"), ["id"], 5, 10).join(d.site.select(c("item_id").alias("id"), c("id").alias("site_id"), "latitude"), "id", "left"))
+_f("join_site_loc", "SELECT s.id, l.location_id FROM site s JOIN (SELECT latitude, longitude, min(id) AS location_id FROM site GROUP BY 1, 2) l ON s.latitude = l.latitude AND s.longitude = l.longitude",
+   lambda d: d.site.join(d.site.groupBy("latitude", "longitude").agg(F.min("id").alias("location_id")), ["latitude", "longitude"]).select("id", "location_id"))
+_f("join_site_item", f"SELECT s.id, i.title FROM site s JOIN item i ON i.id = s.item_id WHERE i.owner_id = {ME}",
+   lambda d: d.site.select("id", "item_id").join(lib.visible(d.item, ME).select(c("id").alias("item_id"), "title"), "item_id").select("id", "title"))
+_f("semi_item_tag", f"SELECT id FROM item WHERE id IN (SELECT item_id FROM link JOIN tag ON tag.id = tag_id WHERE name ILIKE '%{TAG}%')", lambda d: lib.search(d.item, d.link, d.tag, None, TAG).select("id"))
+_f("join_item_tag_m2m", "SELECT i.id, t.name FROM item i JOIN link l ON l.item_id = i.id JOIN tag t ON t.id = l.tag_id",
+   lambda d: d.item.select("id").join(d.link, c("id") == c("item_id")).join(d.tag.select(c("id").alias("tag_id"), "name"), "tag_id").select("id", "name"))
+_f("anti_new_items", "SELECT id, key FROM item WHERE key NOT IN (SELECT key FROM item WHERE id % 2 = 0)", lambda d: d.item.select("id", "key").join(d.item.filter("id % 2 = 0").select("key"), "key", "left_anti"))
+_f("anti_items_with_sites", "SELECT id FROM item WHERE attachment IS NOT NULL AND id NOT IN (SELECT item_id FROM site)", lambda d: d.item.filter("attachment is not null").select("id").join(d.site.select(c("item_id").alias("id")), "id", "left_anti"))
+_f("anti_available_nodes", "SELECT id FROM tag WHERE id NOT IN (SELECT tag_id FROM link WHERE item_id = 11)", lambda d: d.tag.select("id").join(d.link.filter("item_id = 11").select(c("tag_id").alias("id")), "id", "left_anti"))
+_f("join_edge_filter", "SELECT 'item_' || item_id AS source, 'tag_' || tag_id AS target FROM link WHERE tag_id IN (SELECT id FROM tag WHERE id % 2 = 1)", lambda d: lib.edges(d.link, d.item, d.tag.filter("id % 2 = 1")))
+_f("join_location_exact", "SELECT a.id, b.id AS other FROM site a JOIN site b ON a.latitude = b.latitude AND a.longitude = b.longitude AND a.id < b.id",
+   lambda d: d.site.select("id", "latitude", "longitude").join(d.site.select(c("id").alias("other"), "latitude", "longitude"), ["latitude", "longitude"]).filter("id < other").select("id", "other"))
+_f("join_sites_enriched", "SELECT s.id, coalesce(i.title, 'Unknown') AS item_title FROM site s LEFT JOIN (SELECT * FROM item WHERE id % 7 <> 0) i ON i.id = s.item_id",
+   lambda d: d.site.select("id", "item_id").join(d.item.filter("id % 7 <> 0").select(c("id").alias("item_id"), "title"), "item_id", "left").select("id", F.coalesce("title", F.lit("Unknown")).alias("item_title")))
+
+
+def _named(d):
+    """Sites as entities named after nations, unlocated unless coordinates."""
+    n = F.concat(F.lit("NATION_"), (c("entity_idx") * 5 + c("item_id") % 30).cast("string"))
+    loc = c("entity_type") == "COORDINATE"
+    return d.site.select(c("item_id").alias("doc_id"), "id", "entity_type", "confidence", n.alias("name"), F.when(loc, c("latitude")).alias("lat"), F.when(loc, c("longitude")).alias("lon"))
+
+
+_NAMED = ", e AS (SELECT item_id AS doc_id, id, entity_type, confidence, 'NATION_' || (entity_idx * 5 + item_id % 30) AS name, CASE WHEN entity_type = 'COORDINATE' THEN latitude END AS lat, CASE WHEN entity_type = 'COORDINATE' THEN longitude END AS lon FROM site)"
+_f("join_entity_gazetteer", _NAMED + " SELECT e.id, g.lat, g.lon FROM e LEFT JOIN gazetteer g ON lower(g.name) = lower(e.name)",
+   lambda d: _named(d).select("id", F.lower("name").alias("n")).join(d.gazetteer.select(F.lower("name").alias("n"), "lat", "lon"), "n", "left").select("id", "lat", "lon"))
+_f("geo_lookup", "SELECT name, lat, lon FROM gazetteer WHERE lower(name) = 'nation_12'", lambda d: d.gazetteer.filter(F.lower("name") == "nation_12").select("name", "lat", "lon"))
+_GEO = _NAMED + " SELECT e.id, CASE WHEN g.lat IS NOT NULL THEN least(confidence + 0.1, 1.0) ELSE confidence END AS confidence, coalesce(e.lat, g.lat) AS lat, coalesce(e.lon, g.lon) AS lon FROM e LEFT JOIN gazetteer g ON e.entity_type IN ('LOC', 'GPE') AND e.lat IS NULL AND lower(g.name) = lower(e.name)"
+_f("geo_entities", _GEO, lambda d: ex.geocode(_named(d), d.gazetteer).select("id", "confidence", "lat", "lon"))
+
+
+def _homonyms(d):
+    g = d.gazetteer
+    return g.unionAll(g.select("name", (-c("lat")).alias("lat"), (-c("lon")).alias("lon"), (c("priority") + 0.01).alias("priority")))
+
+
+@q(_NAMED + """, h AS (SELECT * FROM gazetteer UNION ALL SELECT name, -lat, -lon, priority + 0.01 FROM gazetteer),
+b AS (SELECT DISTINCT doc_id, CAST(doc_id * 37 % 161 - 80 AS DOUBLE) AS bl, CAST(doc_id * 41 % 341 - 170 AS DOUBLE) AS bo FROM e),
+w AS (SELECT DISTINCT e.doc_id, e.name, bl, bo FROM e JOIN b ON b.doc_id = e.doc_id WHERE entity_type IN ('LOC', 'GPE') AND lat IS NULL)
+SELECT w.doc_id, w.name, h.lat, h.lon FROM w JOIN h ON lower(h.name) = lower(w.name)
+QUALIFY row_number() OVER (PARTITION BY w.doc_id, w.name ORDER BY abs(h.lat - bl) <= 500.0::DOUBLE / 111 AND abs(h.lon - bo) <= 500.0::DOUBLE / 111 DESC, h.priority DESC, h.lat, h.lon) = 1""")
+def geo_bias(d):
+    b = _named(d).select("doc_id").distinct().select("doc_id", (c("doc_id") * 37 % 161 - 80).cast("double").alias("bias_lat"), (c("doc_id") * 41 % 341 - 170).cast("double").alias("bias_lon"))
+    e = ex.geocode(_named(d), _homonyms(d), b)
+    return e.filter(c("entity_type").isin("LOC", "GPE") & c("lat").isNotNull()).select("doc_id", "name", "lat", "lon").distinct()
+
+
+_f("geo_cache", _NAMED + " SELECT lower(name) AS name, count(*) AS asked FROM e GROUP BY 1", lambda d: _named(d).groupBy(F.lower("name").alias("name")).agg(F.count("*").alias("asked")))
+_f("geo_title_bias", _NAMED + " SELECT doc_id, min(id) AS first FROM e WHERE entity_type IN ('LOC', 'GPE') GROUP BY 1", lambda d: _named(d).filter(c("entity_type").isin("LOC", "GPE")).groupBy("doc_id").agg(F.min("id").alias("first")))
+
+# --- aggregates --------------------------------------------------------------------------
+
+_f("agg_item_count", "SELECT (SELECT count(*) FROM item) AS items, (SELECT count(*) FROM tag) AS tags, (SELECT count(*) FROM usr) AS users, (SELECT count(*) FROM creator) AS creators",
+   lambda d: d.item.agg(F.count("*").alias("items")).crossJoin(d.tag.agg(F.count("*").alias("tags"))).crossJoin(d.user.agg(F.count("*").alias("users"))).crossJoin(d.creator.agg(F.count("*").alias("creators"))))
+_f("agg_user_summary", """SELECT owner_id, count(*) AS total_items, count(n) AS items_with_sites, CAST(coalesce(sum(n), 0) AS BIGINT) AS total_sites, round(100.0::DOUBLE * count(n) / count(*), 1) AS coverage,
+round(coalesce(sum(cc) / sum(n), 0), 6) AS avg_confidence, round(coalesce(sum(v) / sum(n), 0), 6) AS avg_validation
+FROM item LEFT JOIN (SELECT item_id, count(*) AS n, sum(confidence) AS cc, sum(validation) AS v FROM site GROUP BY 1) s ON s.item_id = item.id GROUP BY owner_id""", lambda d: lib.user_summary(d.item, d.site))
+_f("agg_by_method", "SELECT method, count(*) AS n FROM site GROUP BY 1", lambda d: d.site.groupBy("method").agg(F.count("*").alias("n")))
+_STATS = "count(*) AS total, count(*) FILTER (is_manual) AS manual, count(*) FILTER (NOT is_manual) AS automatic, round(avg(confidence), 6) AS avg_confidence, " + ", ".join(f"count(*) FILTER (method = '{m}') AS n_{m}" for m in ("regex", "geocoded", "ner"))
+_f("agg_item_stats", f"SELECT item_id, {_STATS} FROM site GROUP BY 1", lambda d: lib.site_stats(d.site, "item_id"))
+_f("agg_manual_auto", "SELECT count(*) FILTER (is_manual) AS manual, count(*) FILTER (NOT is_manual) AS automatic FROM site", lambda d: d.site.agg(F.count_if("is_manual").alias("manual"), F.count_if(~c("is_manual")).alias("automatic")))
+_f("agg_batch_task_status", "SELECT count(*) AS total, count(*) FILTER (state = 'PENDING') AS pending, count(*) FILTER (state IN ('SUCCESS', 'FAILURE')) AS ready, count(*) FILTER (state = 'SUCCESS') AS successful, count(*) FILTER (state = 'FAILURE') AS failed FROM (SELECT arg_max(state, (ts, event_id)) AS state FROM task GROUP BY task_id)",
+   lambda d: lib.latest(d.task).agg(F.count("*").alias("total"), F.count_if(c("state") == "PENDING").alias("pending"), F.count_if(c("state").isin("SUCCESS", "FAILURE")).alias("ready"), F.count_if(c("state") == "SUCCESS").alias("successful"), F.count_if(c("state") == "FAILURE").alias("failed")))
+_f("task_latest_state", "SELECT task_id, arg_max(state, (ts, event_id)) AS state FROM task GROUP BY task_id", lambda d: lib.latest(d.task))
+_f("agg_task_client", "SELECT state, count(*) AS n FROM task GROUP BY 1", lambda d: d.task.groupBy("state").agg(F.count("*").alias("n")))
+_f("agg_download_summary", "SELECT count(*) AS total, count(attachment) AS downloaded, count(*) - count(attachment) AS failed FROM item", lambda d: d.item.agg(F.count("*").alias("total"), F.count("attachment").alias("downloaded"), (F.count("*") - F.count("attachment")).alias("failed")))
+_f("agg_extraction_meta", _NAMED + " SELECT doc_id, count(*) AS entities, count(lat) AS with_coordinates, count(*) FILTER (entity_type IN ('LOC', 'GPE')) AS places FROM e GROUP BY 1",
+   lambda d: _named(d).groupBy("doc_id").agg(F.count("*").alias("entities"), F.count("lat").alias("with_coordinates"), F.count_if(c("entity_type").isin("LOC", "GPE")).alias("places")))
+_f("agg_entity_types", "SELECT entity_type, count(*) AS n FROM site GROUP BY 1", lambda d: d.site.groupBy("entity_type").agg(F.count("*").alias("n")))
+_f("agg_distinct_sections", "SELECT DISTINCT section FROM site", lambda d: d.site.select("section").distinct())
+_f("agg_location_sites", "SELECT latitude, longitude, list(id ORDER BY id) AS sites FROM site GROUP BY 1, 2", lambda d: d.site.groupBy("latitude", "longitude").agg(F.sort_array(F.collect_list("id")).alias("sites")))
+_f("agg_top10_saved", "SELECT count(*) AS total, count(*) FILTER (r <= 10) AS saved FROM (SELECT row_number() OVER (PARTITION BY item_id ORDER BY confidence DESC, id) AS r FROM site)",
+   lambda d: d.site.withColumn("r", F.row_number().over(W.partitionBy("item_id").orderBy(F.desc("confidence"), "id"))).agg(F.count("*").alias("total"), F.count_if(c("r") <= 10).alias("saved")))
+
+# --- order and windows -------------------------------------------------------------------
+
+
+def _ranked(d):
+    e = d.site.withColumnRenamed("latitude", "lat").withColumnRenamed("longitude", "lon")
+    return ex.rank(e, "item_id", "id")
+
+
+_RANK = ", r AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY CASE entity_type WHEN 'COORDINATE' THEN 3 WHEN 'STUDY_SITE' THEN 2 ELSE 1 END DESC, confidence DESC, id) AS INT) AS rank FROM site)"
+_f("win_rank_entities", _RANK + " SELECT id, rank FROM r", lambda d: _ranked(d).select("id", "rank"))
+_f("win_dedup_entities", "SELECT min(id) AS id FROM site GROUP BY item_id, lower(name), section, entity_type", lambda d: ex.dedup(d.site, "item_id", "id").select("id"))
+_CAND = _RANK + ", k AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY entity_type = 'COORDINATE' DESC, rank) AS INT) AS site_rank FROM r)"
+_f("win_candidate_rank", _CAND + " SELECT item_id, latitude AS lat, longitude AS lon, site_rank FROM k", lambda d: ex.study_sites(_ranked(d), "item_id", "id").select("item_id", "lat", "lon", "site_rank"))
+_f("topk_saved", _CAND + " SELECT item_id, latitude AS lat, longitude AS lon FROM k WHERE site_rank <= 10", lambda d: ex.study_sites(_ranked(d), "item_id", "id").filter("is_saved").select("item_id", "lat", "lon"))
+_f("top1_primary", "SELECT item_id, id FROM site QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY confidence DESC, id) = 1",
+   lambda d: d.site.withColumn("r", F.row_number().over(W.partitionBy("item_id").orderBy(F.desc("confidence"), "id"))).filter("r = 1").select("item_id", "id"))
+_f("fallback_best", "SELECT item_id, id FROM site WHERE item_id NOT IN (SELECT item_id FROM site WHERE confidence >= 0.9) QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY confidence DESC, id) = 1",
+   lambda d: d.site.withColumn("ok", F.max(c("confidence") >= 0.9).over(W.partitionBy("item_id"))).filter("not ok").withColumn("r", F.row_number().over(W.partitionBy("item_id").orderBy(F.desc("confidence"), "id"))).filter("r = 1").select("item_id", "id"))
+_f("sort_sites", "SELECT id, confidence, created_at FROM site ORDER BY confidence DESC, created_at DESC, id LIMIT 100", lambda d: lib.page(d.site.select("id", "confidence", "created_at"), [F.desc("confidence"), F.desc("created_at"), "id"], 0, 100))
+_f("sort_results", _RANK + " SELECT id, rank FROM r WHERE item_id = 11 ORDER BY rank", lambda d: _ranked(d).filter("item_id = 11").select("id", "rank").orderBy("rank"))
+_f("page_offset_limit", "SELECT id, title FROM item ORDER BY id LIMIT 10 OFFSET 20", lambda d: lib.page(d.item.select("id", "title"), ["id"], 20, 10))
+_f("page_count", "SELECT CAST(ceil(count(*) / 10.0) AS BIGINT) AS pages FROM item", lambda d: d.item.agg(F.ceil(F.count("*") / 10).alias("pages")))
+_f("map_extent", "SELECT min(latitude) AS south, max(latitude) AS north, min(longitude) AS west, max(longitude) AS east FROM site WHERE latitude <> 0 AND longitude <> 0",
+   lambda d: d.site.filter("latitude <> 0 and longitude <> 0").agg(F.min("latitude").alias("south"), F.max("latitude").alias("north"), F.min("longitude").alias("west"), F.max("longitude").alias("east")))
+
+# --- text --------------------------------------------------------------------------------
+
+
+def _sqlre(s: str) -> str:
+    return s.replace("'", "''")
+
+
+def _chain(rules, start="text") -> str:
+    out = start
+    for p, r in rules:
+        for k in range(1, 10):
+            r = r.replace(f"${k}", f"\\{k}")
+        out = f"regexp_replace({out}, '{_sqlre(p)}', '{_sqlre(r)}', 'g')"
+    return out
+
+
+def _literal(rules) -> str:
+    out = "text"
+    for a, b in rules:
+        out = f"replace({out}, '{_sqlre(a)}', '{_sqlre(b)}')"
+    return out
+
+
+def _t(name, f, sql=None):
+    _f(name, sql and f"SELECT doc_id, {sql} AS text FROM documents", lambda d: d.raw("documents").select("doc_id", f(c("text")).alias("text")))
+
+
+_t("txt_nfkc", tx.nfkc)
+_t("txt_symbol_fixes", tx.symbols, _literal(tx.SYMBOLS))
+_t("txt_coord_corruptions", lambda x: tx.rewrite(x, tx.CORRUPTIONS), _chain(tx.CORRUPTIONS))
+_t("txt_scientific", lambda x: tx.rewrite(x, tx.SCIENTIFIC), _chain(tx.SCIENTIFIC))
+_t("txt_coord_spacing", lambda x: tx.rewrite(x, tx.SPACING), _chain(tx.SPACING))
+_t("txt_minute_fix", lambda x: tx.rewrite(x, tx.MINUTES), _chain(tx.MINUTES))
+_t("txt_pdf_artifacts", lambda x: tx.rewrite(x, tx.ARTIFACTS))
+_t("txt_hyphenation", lambda x: tx.rewrite(x, tx.HYPHENS))
+_t("txt_char_confusions", lambda x: tx.rewrite(x, tx.CONFUSIONS))
+_t("txt_whitespace", lambda x: tx.rewrite(x, tx.BLANKS))
+_t("txt_common_errors", lambda x: tx.rewrite(x, tx.COMMON), _chain(tx.COMMON))
+_t("txt_preserve_coords", lambda x: tx.rewrite(x, tx.PRESERVE), _chain(tx.PRESERVE))
+_t("txt_clean_symbols", tx.clean_symbols)
+_t("txt_clean_all", tx.clean_all)
+
+_L = "nullif(length(text), 0)"
+_QSQL = {
+    "char_ratio": "coalesce(CAST(length(regexp_replace(text, '[^\\p{L}\\p{N}\\s\\x{0B}\\x{85}\\x{A0}]', '', 'g')) AS DOUBLE) / " + _L + ", 0)",
+    "encoding_health": "greatest(0, 1 - 1000 * coalesce((" + " + ".join(f"CAST(length(text) - length(replace(text, '{p}', '')) AS DOUBLE) / {len(p)}" for p in tx.CORRUPT) + ") / " + _L + ", 0)) * CASE WHEN coalesce(CAST(length(regexp_replace(text, '[\\x00-\\x7F]', '', 'g')) AS DOUBLE) / " + _L + ", 0) > 0.3 THEN 0.8 ELSE 1 END",
+    "line_fragmentation": "coalesce(list_sum(list_transform(list_filter(list_transform(string_split(text, chr(10)), lambda x: length(trim(x))), lambda n: n > 0), lambda n: CASE WHEN n < 10 THEN 1 WHEN n < 30 THEN 5 ELSE 10 END))::DOUBLE / 10 / nullif(len(list_filter(string_split(text, chr(10)), lambda x: length(trim(x)) > 0)), 0), 0)",
+    "whitespace_health": "(greatest(0, 1 - 100 * coalesce(CAST(len(regexp_extract_all(text, '  +')) AS DOUBLE) / " + _L + ", 0)) + greatest(0, 1 - 100 * coalesce(CAST(len(regexp_extract_all(text, '\\n\\n\\n+')) AS DOUBLE) / " + _L + ", 0))) / 2",
+}
+for _name, _fn in (("q_char_ratio", tx.char_ratio), ("q_word_completeness", tx.word_completeness), ("q_encoding_health", tx.encoding_health), ("q_fragmentation", tx.fragmentation), ("q_whitespace", tx.whitespace_health)):
+    _key = {"q_fragmentation": "line_fragmentation", "q_whitespace": "whitespace_health"}.get(_name, _name[2:])
+    _f(_name, f"SELECT doc_id, round(CAST({_QSQL[_key]} AS DOUBLE), 6) AS score FROM documents" if _key in _QSQL else None, lambda d, f=_fn: d.raw("documents").select("doc_id", F.round(f(c("text")), 6).alias("score")))
+_QSQL["word_completeness"] = ("coalesce(CAST(len(list_filter(list_transform(list_filter(regexp_split_to_array(lower(text), '[\\s\\x{0B}\\x{85}\\x{A0}]+'), lambda w: w <> ''), "
+                              "lambda w: regexp_replace(w, '^[^\\p{L}\\p{M}\\p{N}_]+|[^\\p{L}\\p{M}\\p{N}_]+$', '', 'g')), lambda w: regexp_full_match(w, '\\p{L}{3,}'))) AS DOUBLE) / "
+                              "nullif(len(list_filter(regexp_split_to_array(lower(text), '[\\s\\x{0B}\\x{85}\\x{A0}]+'), lambda w: w <> '')), 0), 0)")
+SQL["q_word_completeness"] = PRELUDE + f"SELECT doc_id, round({_QSQL['word_completeness']}, 6) AS score FROM documents"
+_OVER = "round(CASE WHEN length(text) < 10 THEN 0 ELSE " + " + ".join(f"CAST({_QSQL[k]} AS DOUBLE) * {w}::DOUBLE" for k, w in (("char_ratio", .15), ("word_completeness", .3), ("encoding_health", .25), ("line_fragmentation", .15), ("whitespace_health", .15))) + " END, 6)"
+_f("q_overall", f"SELECT doc_id, {_OVER} AS overall FROM documents", lambda d: d.raw("documents").select("doc_id", tx.quality(c("text"))["overall_score"].alias("overall")))
+_f("flt_quality_gate", f"SELECT doc_id FROM documents WHERE {_OVER} >= 0.5", lambda d: d.raw("documents").filter(tx.quality(c("text"))["overall_score"] >= 0.5).select("doc_id"))
+_SCORED = _CLASSED + f", z AS (SELECT doc_id, class, arg_max({_OVER}, span_idx) AS score FROM k GROUP BY 1, 2)"
+
+
+def _section_scores(d):
+    return _classed(d).select("doc_id", "span_idx", "class", tx.quality(c("text"))["overall_score"].alias("o")).groupBy("doc_id", "class").agg(F.max_by("o", "span_idx").alias("score"))
+
+
+_f("agg_avg_quality", _SCORED + " SELECT doc_id, round(avg(score), 5) AS quality FROM z GROUP BY 1", lambda d: _section_scores(d).groupBy("doc_id").agg(F.round(F.avg("score"), 5).alias("quality")))
+_f("agg_section_quality", _SCORED + " SELECT doc_id, count(*) AS sections, count(*) FILTER (score < 0.7) AS low FROM z GROUP BY 1", lambda d: _section_scores(d).groupBy("doc_id").agg(F.count("*").alias("sections"), F.count_if(c("score") < 0.7).alias("low")))
+
+# --- coordinates -------------------------------------------------------------------------
+
+_CP = """SELECT item_id, entity_idx, style, text, round(CASE style WHEN 6 THEN -((a // 100) + CAST(a % 60 AS DOUBLE) / 60) WHEN 7 THEN (a // 100) + CAST(a % 60 AS DOUBLE) / 60 + 30.0::DOUBLE / 3600 WHEN 9 THEN -CAST(a AS DOUBLE) / 100 ELSE CAST(a AS DOUBLE) / 100 END, 6) AS lat,
+round(CASE style WHEN 6 THEN (b // 100) + CAST(b % 60 AS DOUBLE) / 60 WHEN 7 THEN -((b // 100) + CAST(b % 60 AS DOUBLE) / 60 + 15.0::DOUBLE / 3600) WHEN 9 THEN CAST(b AS DOUBLE) / 100 ELSE -CAST(b AS DOUBLE) / 100 END, 6) AS lon FROM ctext"""
+
+
+def _parsed(d):
+    p = d.coordinate_text.withColumn("p", coords.parse(c("text")))
+    plus = lambda x: F.when(x == 0, 0.0).otherwise(x)  # noqa: E731  # no minus zero
+    return p.select("item_id", "entity_idx", "style", "text", plus(F.round(c("p.lat"), 6)).alias("lat"), plus(F.round(c("p.lon"), 6)).alias("lon"))
+
+
+_f("coord_parse", f", cp AS ({_CP}) SELECT * REPLACE (lat + 0.0::DOUBLE AS lat, lon + 0.0::DOUBLE AS lon) FROM cp", _parsed)
+_f("coord_find", f"SELECT item_id, entity_idx, text AS found FROM ctext", lambda d: d.coordinate_text.select("item_id", "entity_idx", F.explode(coords.find(F.concat(F.lit("We worked at "), c("text"), F.lit(" in May.")))).alias("f")).select("item_id", "entity_idx", c("f.text").alias("found")))
+_f("coord_to_decimal", "SELECT id, round(-(abs(l) + 30.0::DOUBLE / 60 + 15.0::DOUBLE / 3600), 6) AS v FROM (SELECT id, CAST(entity_idx AS DOUBLE) AS l FROM site)",
+   lambda d: d.site.select("id", F.round(coords.to_decimal(c("entity_idx").cast("double"), F.lit(30.0), F.lit(15.0), F.lit("S")), 6).alias("v")))
+_f("coord_quality", None, lambda d: _parsed(d).select("item_id", "entity_idx", coords.quality(c("text"), c("lat"), c("lon")).alias("quality")))
+_f("coord_token_patterns", "SELECT item_id, entity_idx, text FROM ctext WHERE style IN (1, 2)", lambda d: d.coordinate_text.withColumn("r", coords.parse(c("text"))["rule"]).filter(c("r").startswith("labelled")).select("item_id", "entity_idx", "text"))
+_RULE = "CASE style WHEN 0 THEN 'pair' WHEN 1 THEN 'labelled' WHEN 2 THEN 'labelled_reversed' WHEN 3 THEN 'parentheses' WHEN 4 THEN 'brackets' WHEN 5 THEN 'degrees' WHEN 6 THEN 'minutes' WHEN 7 THEN 'seconds' WHEN 8 THEN 'direction' ELSE 'degrees' END"
+_f("coord_ruler_patterns", f"SELECT {_RULE} AS rule, count(*) AS n FROM ctext GROUP BY 1", lambda d: d.coordinate_text.groupBy(coords.parse(c("text"))["rule"].alias("rule")).agg(F.count("*").alias("n")))
+_f("span_longest_nonoverlap", "SELECT item_id, entity_idx, 1 AS spans FROM ctext", lambda d: d.coordinate_text.select("item_id", "entity_idx", F.size(coords.find(c("text"))).alias("spans")))
+_f("coord_extract_regex", None, lambda d: d.coordinate_text.withColumn("p", coords.parse(tx.clean_symbols(c("text")))).select("item_id", "entity_idx", c("p.lat").alias("lat"), c("p.lon").alias("lon")))
+
+# --- entities ----------------------------------------------------------------------------
+
+
+def _sentence_docs(d):
+    """Made-up methods sentences over the tables' names, so that entity operators have something to find."""
+    s = d.site.withColumn("n", F.concat(F.lit("NATION_"), (c("item_id") % 25).cast("string")))
+    return s.select(c("item_id").alias("doc_id"), c("entity_idx").alias("span_idx"), F.lit("methods").alias("section"), F.lit("Methods").alias("heading"),
+                    F.concat(F.lit("The site is located 10 km north of Paris. Samples were collected in "), c("n"), F.lit(" near Lake "), c("name"), F.lit(" as in Fig. 2 and Table S1.")).alias("text"))
+
+
+_SD = ", sd AS (SELECT item_id AS doc_id, entity_idx AS span_idx, 'NATION_' || (item_id % 25) AS n, name, 'The site is located 10 km north of Paris. Samples were collected in NATION_' || (item_id % 25) || ' near Lake ' || name || ' as in Fig. 2 and Table S1.' AS text FROM site)"
+_f("sent_split", None, lambda d: d.raw("documents").select("doc_id", F.posexplode(tx.sentences(c("text"))).alias("idx", "s")).select("doc_id", "idx", "s.start", "s.end", c("s.text").alias("text")))
+_f("ctx_sentence", _SD + " SELECT doc_id, span_idx, 'Samples were collected in ' || n || ' near Lake ' || name || ' as in Fig. 2 and Table S1.' AS context FROM sd",
+   lambda d: _sentence_docs(d).select("doc_id", "span_idx", F.filter(tx.sentences(c("text")), lambda s: s["text"].contains("Samples"))[0]["text"].alias("context")))
+_f("ent_multiword", _SD + " SELECT doc_id, span_idx, n AS name FROM sd", lambda d: _names(d, _sentence_docs(d)).select("doc_id", "span_idx", "name"))
+_f("ent_ner", _SD + " SELECT doc_id, span_idx, n AS name, 0.95::DOUBLE AS confidence FROM sd", lambda d: _names(d, _sentence_docs(d)).select("doc_id", "span_idx", "name", "confidence"))
+_f("rel_regex", _SD + " SELECT doc_id, span_idx, unnest(['10 km north of Paris', 'near Lake Site']) AS name FROM sd",
+   lambda d: ex._entities(_sentence_docs(d), ex.spans_of(tx.RELATIONS)(c("text")), "SPATIAL_RELATION", 0.85, 1).select("doc_id", "span_idx", F.trim("name").alias("name")))
+_f("rel_parse_parts", _SD + " SELECT doc_id, span_idx, 10.0::DOUBLE AS distance, 'km' AS unit, 'north' AS direction, 'Paris' AS anchor FROM sd",
+   lambda d: _sentence_docs(d).select("doc_id", "span_idx", *[F.regexp_extract("text", "(?i)" + tx.RELATIONS[0], i + 1).cast("double" if i == 0 else "string").alias(n) for i, n in enumerate(("distance", "unit", "direction", "anchor"))]))
+_f("ent_study_site", None, lambda d: ex.extract_entities(_sentence_docs(d), []).filter("entity_type = 'STUDY_SITE'").select("doc_id", "span_idx", "name"))
+_f("ent_contextual", None, lambda d: ex.extract_entities(_sentence_docs(d), []).filter("entity_type = 'CONTEXTUAL_LOCATION'").select("doc_id", "span_idx", "name"))
+_f("ref_table", _SD + " SELECT doc_id, span_idx, 'Table S1' AS ref FROM sd", lambda d: _sentence_docs(d).select("doc_id", "span_idx", F.explode(F.regexp_extract_all("text", F.lit(r"(?i)((?:Supplementary\s+)?Table\s+S?\s?\d+[A-Z]?)"), F.lit(1))).alias("ref")))
+_f("ref_figure", _SD + " SELECT doc_id, span_idx, 'Fig. 2' AS ref FROM sd", lambda d: _sentence_docs(d).select("doc_id", "span_idx", F.coalesce(*[F.nullif(F.regexp_extract("text", p, 0), F.lit("")) for p in (r"(?i)fig(?:ure|\.)?\s*\d+[a-z]?", r"(?i)table\s*\d+", r"(?i)appendix\s*\w+")]).alias("ref")))
+_GW = "[" + ", ".join(f"'{w}'" for w in sorted(tx.GEO_WORDS)) + "]"
+_f("kw_geo", _SD + f" SELECT doc_id, span_idx, list_distinct_sorted AS words FROM (SELECT doc_id, span_idx, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda w: list_contains({_GW}, w)))) AS list_distinct_sorted FROM sd)",
+   lambda d: _sentence_docs(d).select("doc_id", "span_idx", F.sort_array(F.array_distinct(F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: w.isin(*sorted(tx.GEO_WORDS))))).alias("words")))
+
+
+def _ctx_quality(s, p, k):
+    step = lambda v, *at: F.when(v > at[0], at[1]).when(v > at[2], at[3]).otherwise(0.0)
+    return F.least(step(F.length(s), 50, 0.3, 20, 0.15) + step(F.length(p), 200, 0.3, 100, 0.15) + step(k, 2, 0.4, 0, 0.2), F.lit(1.0))
+
+
+@q()
+def ctx_enriched(d):
+    """Each sentence with its neighbours as paragraph, the keywords in it, a figure reference and a score."""
+    s = d.section.select("doc_id", "span_idx", F.posexplode(tx.sentences(c("text"))).alias("idx", "s")).select("doc_id", "span_idx", "idx", c("s.text").alias("sentence"))
+    w = W.partitionBy("doc_id").orderBy("span_idx", "idx")
+    p = F.concat_ws(" ", F.lag("sentence").over(w), c("sentence"), F.lead("sentence").over(w))
+    s = s.withColumn("paragraph", p).withColumn("paragraph", F.when(F.length("paragraph") > 1000, F.concat(F.substring("paragraph", 1, 1000), F.lit("..."))).otherwise(c("paragraph")))
+    s = s.withColumn("keywords", F.array_distinct(F.filter(F.split(F.lower("paragraph"), "[^a-z]+"), lambda x: x.isin(*sorted(tx.GEO_WORDS)))))
+    return s.withColumn("quality", _ctx_quality(c("sentence"), c("paragraph"), F.size("keywords")))
+
+
+_f("ctx_quality", "SELECT id, least(round(CASE WHEN length(context) > 50 THEN 0.3 WHEN length(context) > 20 THEN 0.15 ELSE 0 END + CASE WHEN length(context) > 200 THEN 0.3 WHEN length(context) > 100 THEN 0.15 ELSE 0 END + CASE WHEN entity_idx > 2 THEN 0.4 WHEN entity_idx > 0 THEN 0.2 ELSE 0 END, 6), 1.0)::DOUBLE AS quality FROM site",
+   lambda d: d.site.select("id", F.round(_ctx_quality(c("context"), c("context"), c("entity_idx")), 6).alias("quality")))
+
+
+def _names(d, s):
+    names = [r[0] for r in d.gazetteer.select("name").orderBy("name").collect()]  # the vocabulary, a small dimension
+    import re
+    p = r"\b(?:" + "|".join(re.escape(n) for n in sorted(names, key=len, reverse=True)) + r")\b"
+    return ex._entities(s, ex.spans_of([p])(c("text")), "GPE", 0.95, 2)
+
+
+# --- confidence --------------------------------------------------------------------------
+
+_MULT = "CASE " + " ".join(f"WHEN lower(trim(section)) = '{k}' THEN {m}::DOUBLE" for k, m in tx.SECTION_KEYS) + " " + " ".join(f"WHEN contains(lower(trim(section)), '{k}') OR contains('{k}', lower(trim(section))) THEN {m}::DOUBLE" for k, m in tx.SECTION_KEYS) + " ELSE 1::DOUBLE END"
+_CTX = "(CASE " + " ".join(f"WHEN regexp_matches(lower(context), '{w}') THEN {v}::DOUBLE" for v, w in tx.TIERS) + f" ELSE 0::DOUBLE END - CASE WHEN regexp_matches(lower(context), '{tx.CITING}') THEN 0.5::DOUBLE ELSE 0::DOUBLE END - CASE WHEN regexp_matches(lower(context), '{tx.INSTITUTES}') THEN 0.4::DOUBLE ELSE 0::DOUBLE END)"
+_TYPE = "CASE entity_type " + " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in tx.TYPES.items()) + " ELSE 1::DOUBLE END"
+_CONF = f"round(least(greatest((confidence * {_MULT} + {_CTX}) * {_TYPE}, 0), 1), 6)"
+_conf = lambda d: F.round(tx.confidence(c("confidence"), c("section"), c("context"), c("entity_type")), 6)
+_f("conf_section", f"SELECT id, {_MULT} AS m FROM site", lambda d: d.site.select("id", tx.section_multiplier(c("section")).alias("m")))
+_f("conf_context", f"SELECT id, round({_CTX}, 6) AS a FROM site", lambda d: d.site.select("id", F.round(tx.context_adjustment(c("context")), 6).alias("a")))
+_f("conf_syntax", "SELECT id, CASE entity_idx % 5 WHEN 0 THEN 1.2 WHEN 1 THEN 1.2 WHEN 2 THEN 1.1 WHEN 3 THEN 1.3 ELSE 1.0 END::DOUBLE AS b FROM site",
+   lambda d: d.site.select("id", tx._lookup(F.element_at(F.array(*map(F.lit, ("pobj", "dobj", "nsubj", "appos", "ROOT"))), c("entity_idx") % 5 + 1), tx.ROLES, 1.0).alias("b")))
+_f("conf_type", f"SELECT id, {_TYPE} AS b FROM site", lambda d: d.site.select("id", tx._lookup(c("entity_type"), tx.TYPES, 1.0).alias("b")))
+_f("conf_score", f"SELECT id, {_CONF} AS score FROM site", lambda d: d.site.select("id", _conf(d).alias("score")))
+_f("conf_rank", f"SELECT id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY {_CONF} DESC, id) AS INT) AS r FROM site", lambda d: d.site.select("id", F.row_number().over(W.partitionBy("item_id").orderBy(_conf(d).desc(), "id")).alias("r")))
+
+# --- clustering, adapters, graph ---------------------------------------------------------
+
+_HAV = "2 * 6371.0088 * asin(sqrt(least(pow(sin(radians(b.latitude - a.latitude) / 2), 2) + cos(radians(a.latitude)) * cos(radians(b.latitude)) * pow(sin(radians(b.longitude - a.longitude) / 2), 2), 1)))"
+_PTS = ", pts AS (SELECT item_id, id, entity_type, latitude, longitude FROM site WHERE entity_type <> 'COORDINATE')"
+_EPS = _PTS + f""", dd AS (SELECT a.item_id, a.id, b.id AS other, {_HAV} AS km FROM pts a JOIN pts b ON a.item_id = b.item_id),
+kn AS (SELECT item_id, id, km, row_number() OVER (PARTITION BY item_id, id ORDER BY km) AS r, count(*) OVER (PARTITION BY item_id, id) AS n FROM dd),
+eps AS (SELECT item_id, n, CASE WHEN n < 3 THEN 50.0 ELSE greatest(10, least(200, 1.5 * median(km) FILTER (r = least(3, n - 1)))) END AS eps FROM kn GROUP BY 1, 2),"""
+_CC = _EPS + """ ed AS (SELECT dd.item_id, id, other FROM dd JOIN eps USING (item_id) WHERE km <= eps),
+cc AS (SELECT item_id, id, min(root) AS root FROM (WITH RECURSIVE w(item_id, root, id) AS (SELECT item_id, id, id FROM pts UNION SELECT w.item_id, w.root, ed.other FROM w JOIN ed ON ed.item_id = w.item_id AND ed.id = w.id) SELECT * FROM w) GROUP BY 1, 2)"""
+
+
+def _points(d):
+    return d.site.filter("entity_type <> 'COORDINATE'").select("item_id", "id", "entity_type", c("latitude").alias("lat"), c("longitude").alias("lon"))
+
+
+_f("haversine", "SELECT a.id, round(2 * 6371.0088 * asin(sqrt(least(pow(sin(radians(10 - a.latitude) / 2), 2) + cos(radians(a.latitude)) * cos(radians(10)) * pow(sin(radians(20 - a.longitude) / 2), 2), 1))), 6) AS km FROM site a",
+   lambda d: d.site.select("id", F.round(coords.haversine(c("latitude"), c("longitude"), F.lit(10.0), F.lit(20.0)), 6).alias("km")))
+_f("join_pairwise_haversine", _PTS + f" SELECT a.id, b.id AS other FROM pts a JOIN pts b ON a.item_id = b.item_id AND a.id < b.id WHERE {_HAV} <= 50",
+   lambda d: _points(d).join(_points(d).select("item_id", c("id").alias("other"), c("lat").alias("lat2"), c("lon").alias("lon2")), "item_id").filter((c("id") < c("other")) & (F.abs(c("lat") - c("lat2")) <= 0.46) & (coords.haversine(c("lat"), c("lon"), c("lat2"), c("lon2")) <= 50)).select("id", "other"))
+_f("clus_eps", _EPS + " z AS (SELECT 1) SELECT item_id, round(eps, 6)::DOUBLE AS eps FROM eps", lambda d: ex.cluster(_points(d), "item_id", "id").groupBy("item_id").agg(F.round(F.max("eps"), 6).alias("eps")))
+_f("clus_dbscan", _CC + " SELECT item_id, id, root FROM cc", lambda d: ex.cluster(_points(d), "item_id", "id").withColumn("root", F.min("id").over(W.partitionBy("item_id", "cluster"))).select("item_id", "id", "root"))
+_f("agg_cluster_sizes", _CC + " SELECT item_id, root, count(*) AS n FROM cc GROUP BY 1, 2", lambda d: ex.cluster(_points(d), "item_id", "id").groupBy("item_id", "cluster").agg(F.min("id").alias("root"), F.count("*").alias("n")).drop("cluster"))
+_BEST = _CC + ", sz AS (SELECT item_id, root, count(*) AS n FROM cc GROUP BY 1, 2), best AS (SELECT item_id, root FROM sz QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY n DESC, root) = 1)"
+_f("sort_clusters", _BEST + " SELECT item_id, root, CAST(row_number() OVER (PARTITION BY item_id ORDER BY n DESC, root) AS INT) AS r FROM sz",
+   lambda d: ex.cluster(_points(d), "item_id", "id").groupBy("item_id", "cluster").agg(F.min("id").alias("root"), F.count("*").alias("n")).select("item_id", "root", F.row_number().over(W.partitionBy("item_id").orderBy(F.desc("n"), "root")).alias("r")))
+_f("clus_keep_largest", _BEST + " SELECT id FROM site WHERE entity_type = 'COORDINATE' UNION ALL SELECT cc.id FROM cc JOIN best ON best.item_id = cc.item_id AND best.root = cc.root",
+   lambda d: ex.keep_largest(d.site.withColumnRenamed("latitude", "lat").withColumnRenamed("longitude", "lon"), "item_id", "id").select("id"))
+_f("clus_info", _BEST + " SELECT item_id, CAST(max(n) AS INT) AS largest, CAST(count(*) AS INT) AS clusters FROM sz GROUP BY 1 HAVING sum(n) > 1",
+   lambda d: ex.cluster_info(d.site.withColumnRenamed("latitude", "lat").withColumnRenamed("longitude", "lon"), "item_id", "id").select("item_id", c("info")["largest_cluster_size"].alias("largest"), c("info")["total_clusters"].alias("clusters")))
+_f("adp_study_sites", _CAND + " SELECT item_id, site_rank, site_rank <= 10 AS is_saved, latitude AS lat, confidence FROM k", lambda d: ex.study_sites(_ranked(d), "item_id", "id").select("item_id", "site_rank", "is_saved", "lat", "confidence"))
+_f("adp_method", "SELECT id, CASE WHEN entity_type = 'COORDINATE' THEN CASE WHEN contains(context, 'Table') THEN 'table_parsing' ELSE 'regex' END WHEN entity_type IN ('LOC', 'GPE') THEN 'geocoded' ELSE 'ner' END AS method FROM site", lambda d: d.site.select("id", ex.method_of().alias("method")))
+_f("adp_source", "SELECT id, CASE WHEN contains(context, 'Table') THEN 'table' ELSE 'text' END AS source FROM site", lambda d: d.site.select("id", ex.source_of().alias("source")))
+_f("adp_section", "SELECT id, CASE WHEN section IN ('abstract', 'methods', 'results') THEN section ELSE 'other' END AS section FROM site", lambda d: d.site.select("id", ex.section_of().alias("section")))
+_f("adp_validation", "SELECT id, round(CASE WHEN item_id % 2 = 0 THEN least(confidence + 0.1, 1.0) ELSE confidence END, 3)::DOUBLE AS v FROM site",
+   lambda d: d.site.withColumn("info", F.create_map(F.lit("cluster_0"), F.lit(1), F.lit("total_clusters"), 2 - (c("item_id") % 2).cast("int"))).select("id", F.round(F.when(F.array_max(F.map_values("info")) > 1, F.least(c("confidence") + 0.1, F.lit(1.0))).otherwise(c("confidence")), 3).alias("v")))
+_f("adp_name", None, lambda d: d.site.select("id", ex.site_name().alias("site_name")))
+_f("loc_dedup", "SELECT DISTINCT latitude, longitude FROM site", lambda d: ex.deduplicated_locations(d.site).select("latitude", "longitude"))
+_f("graph_nodes", f"SELECT 'item_' || id AS node, 'item' AS type, {_LABEL} AS label FROM item UNION ALL SELECT 'tag_' || id, 'tag', name FROM tag", lambda d: lib.nodes(d.item, d.tag))
+_f("graph_build", "SELECT 'item_' || item_id AS source, 'tag_' || tag_id AS target FROM link", lambda d: lib.edges(d.link, d.item, d.tag))
+_f("graph_importance", """, r AS (SELECT 'item_' || id AS node, (coalesce(t, 0) + 0.5 * coalesce(s, 0) + 0.3 * coalesce(k, 0))::DOUBLE AS raw FROM item LEFT JOIN (SELECT item_id, count(*) AS t FROM link GROUP BY 1) a ON a.item_id = id
+LEFT JOIN (SELECT item_id, count(*) AS s FROM site GROUP BY 1) b ON b.item_id = id LEFT JOIN (SELECT item_id, count(*) AS k FROM creator GROUP BY 1) e ON e.item_id = id),
+u AS (SELECT 'tag_' || id AS node, coalesce(n, 0)::DOUBLE AS raw FROM tag LEFT JOIN (SELECT tag_id, count(*) AS n FROM link GROUP BY 1) a ON a.tag_id = id)
+SELECT node, round(raw / greatest((SELECT max(raw) FROM r), 1), 6) AS importance FROM r UNION ALL SELECT node, round(raw / greatest((SELECT max(raw) FROM u), 1), 6) FROM u""", lambda d: lib.importance(d.item, d.tag, d.link, d.site, d.creator))
+_f("graph_tag_clusters", ", k AS (SELECT 'tag_' || tag_id AS cluster, item_id FROM link WHERE tag_id IN (SELECT tag_id FROM link GROUP BY 1 HAVING count(*) >= 2)) SELECT * FROM k UNION ALL SELECT 'item_' || id, id FROM item WHERE id NOT IN (SELECT item_id FROM k)", lambda d: lib.tag_clusters(d.link, d.item))
+_f("graph_stats", """, v AS (SELECT (SELECT count(*) FROM item) + (SELECT count(*) FROM tag) AS n, (SELECT count(*) FROM link) AS m) SELECT n AS node_count, m AS edge_count, round(2 * m::DOUBLE / n, 1) AS avg_degree, round(m::DOUBLE / (n::DOUBLE * (n - 1) / 2), 2) AS density,
+(SELECT count(*) FROM item WHERE id NOT IN (SELECT item_id FROM link)) + (SELECT count(*) FROM tag WHERE id NOT IN (SELECT tag_id FROM link)) + 1 AS components FROM v""", lambda d: lib.graph_stats(lib.nodes(d.item, d.tag), lib.edges(d.link, d.item, d.tag)))
+_f("graph_neighborhood", "SELECT 'tag_' || tag_id AS target FROM link WHERE item_id = 11", lambda d: lib.edges(d.link, d.item, d.tag).filter("source = 'item_11'").select("target"))
+
+# --- changes -----------------------------------------------------------------------------
+
+_f("crud_item", "SELECT id, CASE WHEN id % 10 = 0 THEN 'New ' || id ELSE title END AS title, item_type FROM item WHERE id % 13 <> 0",
+   lambda d: lib.without(lib.overlay(d.item.select("id", "title", "item_type"), d.item.filter("id % 10 = 0").select("id", F.concat(F.lit("New "), c("id").cast("string")).alias("title")), "id"), d.item.filter("id % 13 = 0"), "id"))
+_f("crud_site_manual", "SELECT id, method, is_manual FROM site UNION ALL SELECT 'new-' || id, 'manual', true FROM item WHERE id % 100 = 0",
+   lambda d: d.site.select("id", "method", "is_manual").unionByName(d.item.filter("id % 100 = 0").select(F.concat(F.lit("new-"), c("id").cast("string")).alias("id"), F.lit("manual").alias("method"), F.lit(True).alias("is_manual"))))
+_f("crud_site_update", "SELECT id, CASE WHEN item_id % 10 = 0 THEN 1.5 ELSE latitude END::DOUBLE AS latitude, is_manual OR item_id % 10 = 0 AS is_manual, CASE WHEN item_id % 10 = 0 THEN 'manual' ELSE method END AS method FROM site",
+   lambda d: lib.overlay(d.site.select("id", "latitude", "is_manual", "method"), d.site.filter("item_id % 10 = 0").select("id", F.lit(1.5).alias("latitude"), F.lit(True).alias("is_manual"), F.lit("manual").alias("method")).distinct(), "id"))
+_f("crud_site_patch_legacy", "SELECT id, CASE WHEN item_id % 10 = 1 THEN 1.0 ELSE confidence END::DOUBLE AS confidence FROM site",
+   lambda d: lib.overlay(d.site.select("id", "confidence"), d.site.filter("item_id % 10 = 1").select("id", F.lit(1.0).alias("confidence")).distinct(), "id"))
+_f("crud_site_delete", "SELECT id FROM site WHERE item_id % 10 <> 2", lambda d: lib.without(d.site.select("id"), d.site.filter("item_id % 10 = 2"), "id"))
+_f("crud_tag", "SELECT item_id, tag_id FROM link UNION SELECT id, 99 FROM item WHERE id IN (1, 2, 3, 999999999)",
+   lambda d: d.link.unionByName(d.item.filter(c("id").isin(1, 2, 3, 999999999)).select(c("id").alias("item_id"), F.lit(99).alias("tag_id"))).distinct())
+_f("crud_tag_items", "SELECT item_id, tag_id FROM (SELECT item_id, tag_id FROM link UNION SELECT id, 3 FROM item WHERE id % 50 = 0) WHERE NOT (tag_id = 4 AND item_id % 2 = 0)",
+   lambda d: d.link.unionByName(d.item.filter("id % 50 = 0").select(c("id").alias("item_id"), F.lit(3).alias("tag_id"))).distinct().filter(~((c("tag_id") == 4) & (c("item_id") % 2 == 0))))
+_f("crud_user", f"SELECT id FROM item WHERE owner_id <> {ME}", lambda d: d.item.join(d.user.filter(c("id") == ME).select(c("id").alias("owner_id")), "owner_id", "left_anti").select("id"))
+_f("op_reextract", "SELECT item_id, name FROM site WHERE item_id % 4 <> 1 UNION ALL SELECT id, 'again' FROM item WHERE id % 4 = 1",
+   lambda d: lib.replace_group(d.site.select("item_id", "name"), d.item.filter("id % 4 = 1").select(c("id").alias("item_id"), F.lit("again").alias("name")), "item_id"))
+
+
+@q()
+def extract_pipeline(d):
+    """Flagship: study sites of all documents and of the methods sentences about the library's items."""
+    names = [r[0] for r in d.gazetteer.select("name").orderBy("name").collect()]  # the vocabulary, a small dimension
+    docs = d.section.unionByName(_sentence_docs(d).select((-1 - c("doc_id")).alias("doc_id"), c("span_idx").cast("int").alias("span_idx"), "heading", "text"))
+    text = d.coordinate_text.select((-1 - c("item_id")).alias("doc_id"), (c("entity_idx") + 100).cast("int").alias("span_idx"), F.lit("Study area").alias("heading"), F.concat(F.lit("We worked at "), c("text"), F.lit(".")).alias("text"))
+    return ex.extract_pipeline(docs.unionByName(text), d.gazetteer, names)
