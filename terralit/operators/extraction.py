@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import coords, text as tx
+from .library import shared
 
 
 # --- entities ----------------------------------------------------------------------------
@@ -219,7 +220,9 @@ def extract_pipeline(sections: DataFrame, gazetteer: DataFrame, names: list[str]
     """The flagship: sections (doc_id, span_idx, heading, text) -> ranked study sites of all documents, in
     one plan partitioned by document."""
     s = sections.withColumn("section", tx.section_class(F.col("heading"), F.col("text"))).filter(F.col("section").isin(*tx.RELEVANT))
-    e = geocode(extract_entities(s, names), gazetteer)
+    shared(sections.sparkSession)
+    e = extract_entities(s, names).checkpoint()  # read several times below: as entities, as names, as points
+    e = geocode(e, gazetteer)
     e = e.withColumn("order_id", F.row_number().over(W.partitionBy("doc_id").orderBy("entity_idx"))).drop("entity_idx")
     e = rank(confident(dedup(keep_largest(e, "doc_id", "order_id"), "doc_id", "order_id")), "doc_id", "order_id")
     return study_sites(e, "doc_id", "order_id")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 
@@ -66,6 +68,16 @@ def latest(tasks: DataFrame) -> DataFrame:
     return tasks.groupBy("task_id").agg(F.max_by("state", F.struct("ts", "event_id")).alias("state"))
 
 
+def shared(spark) -> None:
+    """Checkpoints go to the folder in spark.checkpoint.dir; a temporary one is set only in local runs
+    that name none."""
+    sc, folder = spark.sparkContext, spark.conf.get("spark.checkpoint.dir", None)
+    if sc.getCheckpointDir() is None:
+        if folder is None and not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="terralit-"))
+
+
 # --- graph -------------------------------------------------------------------------------
 
 def node_label(title: Column, publication: Column, journal: Column) -> Column:
@@ -110,15 +122,7 @@ def tag_clusters(links: DataFrame, items: DataFrame) -> DataFrame:
 def graph_components(node_ids: DataFrame, links: DataFrame) -> DataFrame:
     """(node, root) by label propagation over a bipartite graph; labels are written out each round, which
     cuts the lineage, and rounds end when no label changes."""
-    spark = node_ids.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None and spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="terralit-"))
-    elif folder is not None and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
+    shared(node_ids.sparkSession)
     both = links.select(F.col("source").alias("a"), F.col("target").alias("b")).unionAll(links.select(F.col("target").alias("a"), F.col("source").alias("b"))).distinct()
     now = node_ids.select("node", F.col("node").alias("root"))
     while True:
