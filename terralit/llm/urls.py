@@ -30,9 +30,10 @@ def entry_key(c):
     return F.concat(F.lower(host), F.substr(n, F.length(host) + 1))
 
 
-def candidates(c):
+def candidates(c, depth: int = 1 << 20):
     """What a URL can be listed as, in order: its host and parent domains of two labels or more, its host
-    with each leading part of the path, and, if it has one, with path and query."""
+    with each leading part of the path, and, if it has one, with path and query.  depth is the most path
+    parts that any entry has; longer leading parts can't be listed."""
     n = _norm(c)
     host = F.lower(F.regexp_replace(F.regexp_replace(F.regexp_extract(n, "^[^/?]*", 0), "^.*@", ""), ":[0-9]*$", ""))
     rest = F.regexp_extract(n, "^[^/?]*(.*)$", 1)
@@ -40,10 +41,11 @@ def candidates(c):
     labels, parts = F.split(host, r"\."), F.filter(F.split(path, "/"), lambda x: x != "")
     up = F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))),
                      lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    down = F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.size(parts), F.lit(1))), lambda i: i <= F.size(parts)),
-                       lambda i: F.concat(host, F.lit("/"), F.array_join(F.slice(parts, F.lit(1), i), "/")))
+    last = lambda p: F.greatest(F.least(F.size(p), F.lit(depth)), F.lit(1))
+    down = F.transform(F.array(parts), lambda p: F.transform(F.filter(F.sequence(F.lit(1), last(p)), lambda i: (i <= F.size(p)) & (i <= depth)),
+                                                             lambda i: F.concat(host, F.lit("/"), F.array_join(F.slice(p, F.lit(1), i), "/"))))[0]
     full = F.when(query != "", F.array(F.concat(host, F.when(F.size(parts) > 0, F.concat(F.lit("/"), F.array_join(parts, "/"))).otherwise(F.lit("")), query)))
-    return F.concat(up, down, F.coalesce(full, F.array().cast("array<string>")))
+    return F.when(c.isNotNull(), F.concat(up, down, F.coalesce(full, F.array().cast("array<string>"))))
 
 
 @dataclass(frozen=True)
@@ -52,6 +54,7 @@ class Index:
 
     shards: tuple[tuple[str, int, int, int], ...]
     mask: int = (1 << 64) - 1
+    depth: int = 0
 
 
 def build(entries: DataFrame, column: str = "entry", shard_entries: int = SHARD_ENTRIES, bits: int = 64) -> Index:
@@ -65,7 +68,8 @@ def build(entries: DataFrame, column: str = "entry", shard_entries: int = SHARD_
     one = one.select("s", F.xxhash64("s").bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask)).alias("k"))
     # Shards are cut by the unsigned order, in which numpy searches.
     one = one.withColumn("o", F.col("k").bitwiseXOR(F.lit(-(1 << 63))))
-    shards = max(1, math.ceil(one.count() / shard_entries))
+    n, depth = one.agg(F.count("*"), F.coalesce(F.max(F.size(F.split("s", "/")) - 1), F.lit(0))).first()
+    shards = max(1, math.ceil(n / shard_entries))
 
     def write(batches):
         rows = [pdf for pdf in batches if len(pdf)]
@@ -83,7 +87,7 @@ def build(entries: DataFrame, column: str = "entry", shard_entries: int = SHARD_
         yield pd.DataFrame({"path": [path], "low": [str(keys.min())], "high": [str(keys.max())], "n": [len(keys)]})
 
     made = one.repartitionByRange(shards, "o").mapInPandas(write, "path string, low string, high string, n long").collect()
-    return Index(tuple(sorted(((r["path"], int(r["low"]), int(r["high"]), r["n"]) for r in made), key=lambda s: (s[1], s[0]))), mask)
+    return Index(tuple(sorted(((r["path"], int(r["low"]), int(r["high"]), r["n"]) for r in made), key=lambda s: (s[1], s[0]))), mask, depth)
 
 
 @functools.lru_cache(maxsize=4096)
@@ -136,7 +140,7 @@ def url_filter(pages: DataFrame, index: Index, column: str = "url") -> DataFrame
             out[row] = flat[h]
         return pd.Series(out)
 
-    cands = candidates(F.col(f"`{column}`"))
+    cands = candidates(F.col(f"`{column}`"), index.depth)
     with_it = pages.select(*[F.col(f"`{c}`") for c in names], cands.alias("__c"))
     with_it = with_it.withColumn("matched", match("__c", F.transform("__c", lambda x: F.xxhash64(x))))
     return with_it.select(*[F.col(f"`{c}`") for c in names], F.col("matched").isNotNull().alias("blocked"), "matched")
