@@ -15,6 +15,7 @@ N = 3
 THRESHOLD = 0.5
 SUBSET = 2
 BUCKET_GRAMS = 4_000_000
+KEYS = 1 << 20
 BLOCK = 4096
 
 
@@ -128,7 +129,8 @@ def _shared(key, pdf: pd.DataFrame, homes: int) -> pd.DataFrame:
 
 def _survivors(pdf: pd.DataFrame, t: float) -> pd.DataFrame:
     """Sets of one home whose prefix, rarest grams first, reaches a shared gram: fp, size, n (shared grams
-    in the prefix for one common gram), n2 (for SUBSET common grams), scan (their list lengths), grams."""
+    in the prefix for one common gram), n2 (for SUBSET common grams), scan (their list lengths), visits (at most, the
+    list lengths of the prefix's two-gram subsets), grams."""
     fps = np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["fps"]])
     sizes = np.concatenate([np.frombuffer(x, "<u4") for x in pdf["sizes"]]).astype(np.int64)
     counts = np.concatenate([np.frombuffer(x, "<u4") for x in pdf["counts"]]).astype(np.int64)
@@ -148,14 +150,16 @@ def _survivors(pdf: pd.DataFrame, t: float) -> pd.DataFrame:
     rows = []
     for i in np.flatnonzero(p > 0):
         a, b = ends[i], ends[i + 1]
-        n = int(min(p[i], b - a))
-        rows.append((int(uniq[i].view(np.int64)), int(size[i]), n, int(min(p2[i], b - a)), int(df[a:a + n].sum(dtype=np.int64)), g[a:b].tobytes()))
-    return pd.DataFrame(rows, columns=["fp", "size", "n", "n2", "scan", "grams"])
+        n, n2 = int(min(p[i], b - a)), int(max(0, min(p2[i], b - a)))
+        rare = df[a:a + n2].astype(np.int64)  # ascending, so a subset's list is at most as long as its first gram's
+        rows.append((int(uniq[i].view(np.int64)), int(size[i]), n, n2, int(df[a:a + n].sum(dtype=np.int64)), int((rare * np.arange(n2 - 1, -1, -1)).sum()), g[a:b].tobytes()))
+    return pd.DataFrame(rows, columns=["fp", "size", "n", "n2", "scan", "visits", "grams"])
 
 
 def boundary(sizes: pd.DataFrame) -> int:
     """The set size up to which sets are light.  sizes (size, subsets, scan): what enumerating the
-    subsets, and what scanning the lists, costs for all sets of a size; the cut of least sum wins."""
+    subsets and visiting their lists, and what scanning the grams' lists, costs for all sets of a size;
+    the cut of least sum wins."""
     s = sizes.sort_values("size")
     cost = np.concatenate(([0], np.cumsum(s["subsets"].to_numpy(float)))) + np.concatenate((np.cumsum(s["scan"].to_numpy(float)[::-1])[::-1], [0]))
     k = int(np.argmin(cost))
@@ -167,38 +171,42 @@ def _postings(sets: DataFrame, light_to: int, t: float, buckets: int) -> DataFra
     also the hashes of their prefixes' SUBSET-element subsets."""
     def of(batches):
         for pdf in batches:
-            keys, which = [], []
-            size = pdf["size"].to_numpy()
-            light = (size <= light_to) & (least_overlap(size, t) >= SUBSET)
-            for i, (n, n2, raw) in enumerate(zip(pdf["n"], pdf["n2"], pdf["grams"])):
-                g = np.frombuffer(raw, np.uint64)
-                keys.append(mix(g[:n])), which.append(np.full(n, i))
-                if light[i] and n2 > 1:
-                    a, b = np.triu_indices(n2, 1)
-                    low, high = np.minimum(g[a], g[b]), np.maximum(g[a], g[b])
-                    keys.append(mix(mix(low) + high * U64(3) + U64(1)) | U64(1)), which.append(np.full(len(a), i))
-                    keys[-2] = keys[-2] & ~U64(1)
-                else:
-                    keys[-1] = keys[-1] & ~U64(1)
-            if not keys:
-                continue
-            k, w = np.concatenate(keys), np.concatenate(which)
-            b = (((k >> U64(40)) * U64(buckets)) >> U64(24)).astype(np.int32)
-            order = np.argsort(b, kind="stable")
-            k, w, b = k[order], w[order], b[order]
-            cut = np.searchsorted(b, np.arange(buckets + 1))
-            fp = pdf["fp"].to_numpy().astype(np.int64)
-            rows = []
-            for j in range(buckets):
-                lo, hi = cut[j], cut[j + 1]
-                if hi > lo:
-                    own, back = np.unique(w[lo:hi], return_inverse=True)
-                    rows.append((j, fp[own].tobytes(), size[own].astype("<u4").tobytes(), light[own].tobytes(), k[lo:hi].tobytes(), back.astype("<u4").tobytes()))
-            yield pd.DataFrame(rows, columns=["bucket", "fps", "sizes", "light", "keys", "which"])
+            n2 = pdf["n2"].to_numpy().astype(np.int64)
+            light = (pdf["size"].to_numpy() <= light_to) & (least_overlap(pdf["size"].to_numpy(), t) >= SUBSET)
+            made = np.cumsum(pdf["n"].to_numpy() + np.where(light, n2 * (n2 - 1) // 2, 0))
+            lo = 0
+            while lo < len(pdf):  # so many sets at a time that their keys take a bounded room
+                hi = max(lo + 1, int(np.searchsorted(made, (made[lo - 1] if lo else 0) + KEYS, side="right")))
+                yield block(pdf.iloc[lo:hi], light[lo:hi])
+                lo = hi
+
+    def block(pdf, light):
+        keys, which = [], []
+        size = pdf["size"].to_numpy()
+        for i, (n, n2, raw) in enumerate(zip(pdf["n"], pdf["n2"], pdf["grams"])):
+            g = np.frombuffer(raw, np.uint64)
+            keys.append(mix(g[:n]) & ~U64(1)), which.append(np.full(n, i, np.int32))
+            if light[i] and n2 > 1:
+                a, b = np.triu_indices(n2, 1)
+                low, high = np.minimum(g[a], g[b]), np.maximum(g[a], g[b])
+                keys.append(mix(mix(low) + high * U64(3) + U64(1)) | U64(1)), which.append(np.full(len(a), i, np.int32))
+        k, w = np.concatenate(keys), np.concatenate(which)
+        b = (((k >> U64(40)) * U64(buckets)) >> U64(24)).astype(np.int32)
+        order = np.argsort(b, kind="stable")
+        k, w, b = k[order], w[order], b[order]
+        cut = np.searchsorted(b, np.arange(buckets + 1))
+        fp = pdf["fp"].to_numpy().astype(np.int64)
+        rows = []
+        for j in range(buckets):
+            lo, hi = cut[j], cut[j + 1]
+            if hi > lo:
+                own, back = np.unique(w[lo:hi], return_inverse=True)
+                rows.append((j, fp[own].tobytes(), size[own].astype("<u4").tobytes(), light[own].tobytes(), k[lo:hi].tobytes(), back.astype("<u4").tobytes()))
+        return pd.DataFrame(rows, columns=["bucket", "fps", "sizes", "light", "keys", "which"])
     return sets.select("fp", "size", "n", "n2", "grams").mapInPandas(of, "bucket int, fps binary, sizes binary, light binary, keys binary, which binary")
 
 
-def _candidates(pdf: pd.DataFrame, t: float, most: int = 1 << 21):
+def _candidates(pdf: pd.DataFrame, t: float, most: int = 1 << 19):
     """Pairs that share a key of one bucket and whose sizes allow the threshold, each once with the number
     of prefix grams it shares here (0: found by a subset)."""
     base = np.cumsum([0] + [len(x) // 8 for x in pdf["fps"]])[:-1]
@@ -290,11 +298,14 @@ def similar_sets(docs: DataFrame, n: int = N, t: float = THRESHOLD) -> tuple[Dat
     live = (_grams(docs, n, buckets).repartition(buckets, "bucket").groupBy("bucket")
             .applyInPandas(shared, "home int, bucket int, fps binary, sizes binary, counts binary, grams binary, dfs binary")
             .repartition(homes, "home").groupBy("home")
-            .applyInPandas(survivors, "fp long, size int, n int, n2 int, scan long, grams binary"))
+            .applyInPandas(survivors, "fp long, size int, n int, n2 int, scan long, visits long, grams binary"))
     live = written(live, "live", "uncompressed")
-    light_to = boundary(live.filter(F.ceil(F.col("size") * t) >= SUBSET).groupBy("size").agg(
-        F.sum(F.col("n2") * (F.col("n2") - 1.0) / 2).alias("subsets"), F.sum("scan").alias("scan")).toPandas())
-    found = (_postings(live, light_to, t, buckets).repartition(buckets, "bucket").groupBy("bucket")
+    costs = live.groupBy("size").agg(F.sum(F.col("n2") * (F.col("n2") - 1.0) / 2).alias("made"), F.sum("visits").alias("visits"), F.sum("scan").alias("scan"), F.sum("n").alias("n")).toPandas()
+    two = costs.assign(subsets=costs["made"] + costs["visits"])[least_overlap(costs["size"], t) >= SUBSET]
+    light_to = boundary(two)
+    keys = float(costs["n"].sum() + two["made"][two["size"] <= light_to].sum())
+    lists = min(65535, max(buckets, math.ceil(keys / KEYS)))
+    found = (_postings(live, light_to, t, lists).repartition(lists, "bucket").groupBy("bucket")
              .applyInPandas(candidates, "a long, b long, found int")
              .groupBy("a", "b").agg(F.sum("found").alias("found"), F.min("found").alias("least")))
     rest = live.select("fp", "size", (F.length("grams") / 8 - F.col("n")).cast("int").alias("rest"))
