@@ -18,8 +18,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "\u2581"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-KEEP = 1 << 18
-FAST = 0x180
+KEEP = 1 << 16
+FAST, SLICE = 0x100, 2_000_000
 UNK_PENALTY = 10.0
 _CHUNK = re.compile(SPACE + "*[^" + SPACE + "]*")
 
@@ -349,9 +349,13 @@ def _batches(df: DataFrame, column: str, name: str, kind: T.DataType, convert) -
     schema = T.StructType([f for f in df.schema.fields if f.name != name]).add(name, kind)
 
     def run(batches):
-        for b in batches:
-            made = convert(b.column(at))
-            yield pa.RecordBatch.from_arrays([*b.columns, made], names=[*b.schema.names, name])
+        for whole in batches:
+            step = max(1, len(whole) * SLICE // max(1, whole.nbytes))
+            for lo in range(0, len(whole), step):  # so many rows at a time that working arrays stay small
+                b = whole.slice(lo, step)
+                yield pa.RecordBatch.from_arrays([*b.columns, convert(b.column(at))], names=[*b.schema.names, name])
+            if not len(whole):
+                yield pa.RecordBatch.from_arrays([*whole.columns, convert(whole.column(at))], names=[*whole.schema.names, name])
 
     return df.select(*[F.col(f"`{c}`") for c in names]).mapInArrow(run, schema)
 
