@@ -40,10 +40,11 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
                    "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
                    "Apache License Version 2.0, January 2004"),
     "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3.", *_gnu(_GPL, "3"), "GNU General Public License Version 3, 29 June 2007"),
-    "GPL-2.0": ("This work is licensed under the GNU General Public License, version 2.", "GNU General Public License Version 2, June 1991"),
-    "LGPL-3.0": ("This work is licensed under the GNU Lesser General Public License, version 3.", "GNU Lesser General Public License Version 3, 29 June 2007"),
-    "LGPL-2.1": ("This work is licensed under the GNU Lesser General Public License, version 2.1.", "GNU Lesser General Public License Version 2.1, February 1999"),
-    "AGPL-3.0": ("This work is licensed under the GNU Affero General Public License, version 3.", "GNU Affero General Public License Version 3, 19 November 2007"),
+    "GPL-2.0": ("This work is licensed under the GNU General Public License, version 2.", *_gnu(_GPL, "2"), "GNU General Public License Version 2, June 1991"),
+    "LGPL-3.0": ("This work is licensed under the GNU Lesser General Public License, version 3.", *_gnu(_LESSER, "3", "library"), "GNU Lesser General Public License Version 3, 29 June 2007"),
+    "LGPL-2.1": ("This work is licensed under the GNU Lesser General Public License, version 2.1.", *_gnu(_LESSER, "2.1", "library"), "GNU Lesser General Public License Version 2.1, February 1999"),
+    "LGPL-2.0": _gnu("Library General Public License", "2", "library"),
+    "AGPL-3.0": ("This work is licensed under the GNU Affero General Public License, version 3.", *_gnu(_AFFERO, "3"), "GNU Affero General Public License Version 3, 19 November 2007"),
     "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
                 "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
     # The passage on source and binary forms is common to all BSD licenses and counts as the usual one, unless more of the notice tells which it is.
@@ -79,7 +80,16 @@ SIGNS = r"(?i)licen[sc]|copyright|all\W+rights\W+reserved|hereby\W+granted|redis
 #: License tags: an SPDX identifier or expression after its name.
 TAG = re.compile(r"(?i)\b(?:SPDX-License-Identifier|licen[sc]e)[\"']?[ \t]*[:=][ \t]*[\"'(]*([\w.+-]+(?:[ \t)(]+(?:OR|AND|WITH)[ \t(]+[\w.+-]+)*)")
 WORD = re.compile(r"[\w.+-]*\w")
-_SPLIT = re.compile(r"(?:cc-by|by|attribution|noncommercial|sharealike)(?:-[\w.]+)+$")
+_SPLIT, _VERSION = re.compile(r"(?:cc-by|by|attribution|noncommercial|sharealike)(?:-[\w.]+)+$"), r"v?\d(?:\.\d+)*"
+#: The words that tell licenses of a family apart; a match that lacks or adds one is rejected.
+TELLS = tuple((re.compile(k), re.compile(f"(?:{w})$")) for k, w in (
+    (r"A?GPL|LGPL", rf"lesser|affero|gnu|[al]?gpl.*|{_VERSION}"),
+    (r"CC", rf"cc0?|by|nc|sa|nd|attribution|noncommercial|sharealike|noderiv\w*|zero|{_VERSION}"),
+    (r"Apache", rf"apache.*|mit|{_VERSION}|license-\d.*"),
+    (r"MPL", rf"mozilla|mpl.+|{_VERSION}"),
+    (r"BSD", r"bsd|freebsd|\d-clause|new|modified|simplified|original|neither|endorse|promote|advertising|acknowledge?ment"),
+    (r"MIT", r"mit|mit-.*|expat|apache|bsd|isc")))
+
 
 def tokens(text: str) -> list[tuple[str, int]]:
     """(lower-cased word, its place) of a text; the parts of Creative Commons names are words of their own."""
@@ -126,6 +136,7 @@ class Scanner:
                 self.bags[i, self.vocabulary[w]] += 1
         self.most = np.array([int(DIFFERENCE * len(w) + 1e-9) for _, w in self.rows])
         self.names = {k.lower(): k for k, _ in self.rows}
+        self.tells = [next((t.match for p, t in TELLS if p.match(k)), None) for k, _ in self.rows]
         # A match with so few differences lies within this many words of the sign in it.
         self.reach = int(max(len(w) for _, w in self.rows) * (1 + DIFFERENCE)) + 2
         self.plain = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False)
@@ -184,7 +195,7 @@ class Scanner:
         hits = []
         for i in np.flatnonzero(np.maximum(self.bags - there, 0).sum(1) <= self.most).tolist():
             name, want = self.rows[i]
-            for a, z, missing, added in self._align(ids, [code.get(w, -1) for w in want], own, want, lines):
+            for a, z, missing, added in self._align(ids, [code.get(w, -1) for w in want], own, want, lines, self.tells[i]):
                 raw = " ".join(own[bisect.bisect_left(lines, lines[a]):bisect.bisect_right(lines, lines[z - 1])]).encode()
                 hits.append((len(want) - 2 * len(missing) - len(added), self.saved(i, raw), name, a, z, missing, added, len(want)))
         taken, kept = np.zeros(len(own), bool), []
@@ -195,7 +206,7 @@ class Scanner:
         return tuple(kept)
 
     @staticmethod
-    def _align(ids, code, own, want, lines):
+    def _align(ids, code, own, want, lines, tell):
         """The disjoint parts [a, z) of the words that a template fits with the least number of words missing
         and added, best first.  Missing words at an end also count the words of the line that stand for them."""
         n, m, most = len(ids), len(code), int(DIFFERENCE * len(code) + 1e-9)
@@ -233,6 +244,8 @@ class Scanner:
                 z, after = z + 1, after - 1
             if taken[a:z].any() or len(missing) + len(added) > most:
                 continue
+            if tell and (any(tell(want[x]) for x in missing) or any(tell(own[x]) or own[x:x + 2] == ("library", "general") for x in added)):
+                continue
             taken[a:z] = True
             out.append((a, z, [want[x] for x in sorted(missing)], [own[x] for x in sorted(added)]))
         return out
@@ -247,7 +260,8 @@ def license_scan(docs: DataFrame, templates: dict[str, tuple[str, ...]] | None =
     missing and added over the template's words), missing, added, exact.
 
     Texts that hold one of SIGNS, chosen in the JVM, go to Python whole; there the words around each sign,
-    over line ends, are aligned with the templates.   SPDX tags give each license of their
+    over line ends, are aligned with the templates.  Words that tell licenses of a family apart (version,
+    Lesser, Affero, NC, SA ...) must be as in the template.  SPDX tags give each license of their
     expression.  A line may state several licenses in different words of it.  Null and empty texts and
     texts without a license give no row; null doc_ids are kept as null; repeated rows each give theirs;
     other columns are ignored; an empty table gives no rows."""
