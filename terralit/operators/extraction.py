@@ -33,11 +33,23 @@ def table_coordinates(rows: DataFrame) -> DataFrame:
     return out.withColumn("name", F.when(name > 0, F.get(F.col("cells"), name - 1))).filter(coords.valid(F.col("lat"), F.col("lon"), True)).withColumn("confidence", F.lit(0.9))
 
 
+CONTEXT_WINDOW = 250
+
+
+def context_of(start: Column, sentences: Column) -> Column:
+    """The sentence that holds a place in text, else CONTEXT_WINDOW characters on each side of it."""
+    begin = F.greatest(start - CONTEXT_WINDOW, F.lit(0))
+    around = F.regexp_replace(F.substr(F.col("text"), begin + 1, start + CONTEXT_WINDOW - begin), r"^\s+|\s+$", "")
+    return F.coalesce(F.get(F.filter(sentences, lambda s: (s["start"] <= start) & (start < s["end"])), F.lit(0))["text"], around)
+
+
 def _entities(df: DataFrame, array: Column, kind: str, confidence: float, method: int) -> DataFrame:
     """Rows of one extractor from array<struct<text,start,end>>."""
-    return (df.select("doc_id", "span_idx", "section", "text", F.posexplode(array).alias("n", "e"))
+    with_context = F.transform("__e", lambda e: F.struct(e["text"].alias("text"), e["start"].alias("start"), e["end"].alias("end"), context_of(e["start"], F.col("__s")).alias("context")))
+    return (df.select("doc_id", "span_idx", "section", "text", array.alias("__e"), tx.sentences("text").alias("__s"))
+            .select("doc_id", "span_idx", "section", F.posexplode(with_context).alias("n", "e"))
             .select("doc_id", "span_idx", "section", F.lit(method).alias("extractor"), "n", F.trim("e.text").alias("name"), F.col("e.start").alias("start"), F.col("e.end").alias("end"),
-                    F.lit(kind).alias("entity_type"), F.lit(confidence).alias("confidence"), F.substring("text", 1, 250).alias("context")))
+                    F.lit(kind).alias("entity_type"), F.lit(confidence).alias("confidence"), F.col("e.context").alias("context")))
 
 
 def spans_of(patterns: list[str], flags: int = 2) -> "Column":
