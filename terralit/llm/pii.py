@@ -15,17 +15,23 @@ from .common import ready
 
 KINDS = ("EMAIL", "PHONE", "IP", "CARD", "SECRET")
 LABELS = 1 + 2 * len(KINDS)  # O, then B and I of each kind
-HIDDEN, WINDOW, STRIDE, REACH = 24, 192, 96, 64
+HIDDEN, WINDOW, STRIDE = 24, 192, 96
 STEPS, BATCH, LENGTH, SEED = 420, 48, 88, 7
 
 _PUNCT = "@.,:;-_+()[]{}<>/\\\"'=#%&*!?|$~^`"
-CLASSES = 10 + len(_PUNCT)
+GROUPS = 10 + len(_PUNCT)
+#: Symbols: the groups below, then each ASCII letter, as the names before secrets are words.
+CLASSES = GROUPS + 52
 _TABLE = np.full(0x250, 9, np.int64)
 for _i in range(0x250):
     _c = chr(_i)
     _TABLE[_i] = (1 if _c.isdigit() else 2 if _c in "abcdef" else 3 if "a" <= _c <= "z" else 4 if _c in "ABCDEF" else 5 if "A" <= _c <= "Z"
                   else 6 if _c == " " or _c == "\t" else 7 if _c in "\r\n" else 10 + _PUNCT.index(_c) if _c in _PUNCT else 8 if _c.isalpha() else 9)
-TRIGGER, CAPITALS = re.compile(r"[0-9@]"), re.compile(r"[A-Z][A-Z0-9]{11,}")
+#: The group of each symbol; a letter begins training with the weights of its group.
+_GROUP = np.arange(CLASSES)
+for _i, _c in enumerate("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"):
+    _GROUP[GROUPS + _i] = _TABLE[ord(_c)]
+    _TABLE[ord(_c)] = GROUPS + _i
 
 
 def classes(text: str) -> np.ndarray:
@@ -52,6 +58,12 @@ def _word(r: Dice) -> str:
     return "".join(part[k] for k in r.integers(0, len(part), r.integers(1, 5)))
 
 
+def _long(r: Dice) -> str:
+    """A longer word of prose, with groups of consonants, as it isn't a secret unless a name says so."""
+    part = ("sch", "ver", "pf", "keit", "lich", "heit", "ein", "die", "und", "ge", "ng", "sh", "wh", "bl", "str", "th", "nd", "nt", "tion", "ly", "ing", "ed", "tt", "ar", "os", "is", "ción", "ñ", "ß", "é", "eau", "que", "en", "ha", "re", "ti", "an", "ou")
+    return "".join(part[k] for k in r.integers(0, len(part), r.integers(2, 8)))
+
+
 def _digits(r, n: int) -> str:
     return "".join(str(k) for k in r.integers(0, 10, n))
 
@@ -62,9 +74,9 @@ def _from(r, letters: str, n: int) -> str:
 
 def _plain(r) -> str:
     """A word of prose, markup, numbers or other text that isn't personal."""
-    w, k = _word(r), r.integers(0, 40)
+    w, k = _long(r) if r.integers(3) == 0 else _word(r), r.integers(0, 40)
     if k < 24:
-        return w if k else w.capitalize()
+        return w if k > 3 else w.capitalize()
     if k < 30:
         return w + (".", ",", "!!", "%%%", "&&&", "***", "$$$", "###", ";", ":", " |", "?")[r.integers(0, 12)]
     if k < 32:
@@ -103,7 +115,16 @@ def _personal(r) -> tuple[str, str, str, str]:
         sep = ("", "", "", " ", "-")[r.integers(0, 5)]
         return k, "", sep.join(d[i:i + 4] for i in range(0, 16, 4)), ""
     name = ("token", "password", "api_key", "secret", "key", "passwd", "pwd", "auth", "access_token")[r.integers(0, 9)]
-    form = r.integers(0, 6)
+    form = r.integers(0, 9)
+    if form >= 6:  # without any digit
+        before = f"{name}{(': ', '=', ' = ')[r.integers(3)]}" + ("", '"')[r.integers(4) == 0]
+        if form == 6:
+            span = "".join(_word(r) for _ in range(r.integers(3, 7)))
+            span = span if len(span) >= 10 else span + _from(r, "abcdefghijklmnopqrstuvwxyz", 8)
+        else:
+            span = ("sk-", "ghp_", "", "")[r.integers(4)] + _from(r, ("abcdefghijklmnopqrstuvwxyz", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")[r.integers(2)], r.integers(14, 41))
+            before = "" if form == 8 and r.integers(3) == 0 and len(span) >= 24 and sum(c.isupper() for c in span) > 5 else before
+        return k, before, span, '"' if before.endswith('"') else ""
     if form == 0:
         return k, "", "AKIA" + _from(r, "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 16), ""
     hexes = _from(r, "0123456789abcdef", (18, 20, 24, 32, 40, 40, 64)[r.integers(0, 7)])
@@ -151,7 +172,7 @@ def _sig(x):
 def _init(r) -> dict[str, np.ndarray]:
     p = {"t": np.zeros((LABELS, LABELS)), "t0": np.zeros(LABELS), "bo": np.zeros(LABELS), "wo": r.normal(0, 0.2, (2 * HIDDEN, LABELS))}
     for d in "fb":
-        p["x" + d] = r.normal(0, 0.3, (CLASSES, 4 * HIDDEN))
+        p["x" + d] = r.normal(0, 0.3, (CLASSES, 4 * HIDDEN))[_GROUP] + r.normal(0, 0.03, (CLASSES, 4 * HIDDEN))
         p["x" + d][:, HIDDEN:2 * HIDDEN] += 1  # the forget gate's bias
         p["h" + d] = r.normal(0, 1 / np.sqrt(HIDDEN), (HIDDEN, 4 * HIDDEN))
     return {k: v.astype(np.float32) for k, v in p.items()}
@@ -299,23 +320,8 @@ def viterbi(e, t, t0) -> np.ndarray:
     return out
 
 
-def regions(text: str) -> list[tuple[int, int]]:
-    """Stretches to decode: REACH characters around each digit, @ and long run of capitals.  Every
-    labelled span has one of these, so the rest of the text can't hold a span."""
-    found: list[list[int]] = []
-    spots = [(m.start(), m.end()) for m in TRIGGER.finditer(text)]
-    caps = [(m.start(), m.end()) for m in CAPITALS.finditer(text)]
-    for a, b in sorted(spots + caps) if caps else spots:
-        a, b = max(0, a - REACH), min(len(text), b + REACH)
-        if found and a <= found[-1][1]:
-            found[-1][1] = max(b, found[-1][1])
-        else:
-            found.append([a, b])
-    return [(a, b) for a, b in found]
-
-
 def cut(a: int, b: int) -> list[tuple[int, int]]:
-    """Overlapping windows over a region."""
+    """Overlapping windows over a text."""
     if b - a <= WINDOW:
         return [(a, b)]
     return [(s, min(b, s + WINDOW)) for s in range(a, b - WINDOW + STRIDE, STRIDE)]
@@ -342,8 +348,8 @@ def find(texts: list[str], p: dict[str, np.ndarray], batch: int = 256) -> list[l
     """The spans (start, end, kind) of each text, in characters."""
     work = []
     for i, text in enumerate(texts):
-        for a, b in regions(text):
-            work += [(i, s, e, a, b) for s, e in cut(a, b)]
+        if text:
+            work += [(i, s, e, 0, len(text)) for s, e in cut(0, len(text))]
     work.sort(key=lambda w: w[2] - w[1])
     found: list[list] = [[] for _ in texts]
     for at in range(0, len(work), batch):

@@ -1,0 +1,11 @@
+from terralit.llm import pii
+
+FAR = "Plain words of prose go on here and there without end. " * 12
+
+
+def test_secrets_without_digits_far_from_any_digit():
+    p = pii.trained()
+    for name, secret in (("password=", "correcthorsebattery"), ("api_key: ", "sk-abcdefghijklmnopqrstuvwxyzabcdef"), ("token = ", "QwErTyUiOpAsDfGhJkLzXcVb")):
+        text = FAR + name + secret + " and then " + FAR
+        at = len(FAR + name)
+        assert pii.find([text, FAR], p) == [[(at, at + len(secret), "SECRET")], []]
