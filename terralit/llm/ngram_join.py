@@ -346,11 +346,19 @@ def jaccard_join(docs: DataFrame, n: int = N, t: float = THRESHOLD) -> DataFrame
 
 
 def near_dedup(docs: DataFrame, n: int = N, t: float = THRESHOLD) -> DataFrame:
-    """docs with one document of each group: the row of least doc_id in each connected component of
-    jaccard_join stays, with all documents in no pair, null ids, null and wordless texts included."""
-    links = written(jaccard_join(docs, n, t).selectExpr("doc_a a", "doc_b b"), "links")
-    later = components(links).filter("node <> root").select(F.col("node").alias("doc_id"))
-    return docs.join(later, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """docs with one row of each group: the first in the order of doc_id in each connected component of
+    jaccard_join over rows stays, with all rows in no pair, null ids, null and wordless texts included.
+
+    Rows are told apart by a number of their own in that order, not by doc_id: of rows that share a
+    doc_id each is judged by its text, and of rows that repeat doc_id and text one stays."""
+    ready(docs.sparkSession)
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    rows = docs.repartitionByRange(parts(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    rows = written(rows.select(*names, F.monotonically_increasing_id().alias("__row")), "rows")
+    numbered = rows.select(F.when(F.col("doc_id").isNotNull(), F.col("__row")).alias("doc_id"), "text")
+    links = written(jaccard_join(numbered, n, t).selectExpr("doc_a a", "doc_b b"), "links")
+    later = components(links).filter("node <> root").select(F.col("node").alias("__row"))
+    return rows.join(later, "__row", "left_anti").select(*names)
 
 
 SQL = f"""
