@@ -264,7 +264,8 @@ def _verify(pairs: pd.DataFrame, sets: pd.DataFrame, t: float) -> pd.DataFrame:
 
 def similar_sets(docs: DataFrame, n: int = N, t: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """(members, pairs): members (doc_id, fp, rep) names each document's set and the least doc_id that has
-    it; pairs (a, b, jaccard) are the distinct sets of Jaccard t or more, a and b being such doc_ids.
+    it; pairs (a, b, jaccard, fa, fb) are the distinct sets of Jaccard t or more, a and b being such doc_ids
+    and fa and fb the sets.
 
     1. Grams are hashed in numpy and shuffled by bucket, 6 bytes each; grams of a single set are dropped
        there, since nothing can share them.
@@ -324,7 +325,7 @@ def similar_sets(docs: DataFrame, n: int = N, t: float = THRESHOLD) -> tuple[Dat
              .applyInPandas(verify, "a long, b long, jaccard double"))
     rep = members.select("fp", "rep").distinct()
     pairs = (pairs.join(rep.toDF("a", "ra"), "a").join(rep.toDF("b", "rb"), "b")
-             .select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"), "jaccard"))
+             .select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"), "jaccard", F.col("a").alias("fa"), F.col("b").alias("fb")))
     return members, pairs
 
 
@@ -342,7 +343,17 @@ def jaccard_join(docs: DataFrame, n: int = N, t: float = THRESHOLD) -> DataFrame
     Other columns are ignored.  Empty tables give no rows."""
     members, pairs = similar_sets(docs, n, t)
     copies = members.filter("doc_id > rep").select(F.col("rep").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard"))
-    return pairs.filter("a < b").toDF("doc_a", "doc_b", "jaccard").unionAll(copies.distinct())
+    return pairs.filter("a < b").selectExpr("a doc_a", "b doc_b", "jaccard").unionAll(copies.distinct())
+
+
+def all_pairs(docs: DataFrame, n: int = N, t: float = THRESHOLD) -> DataFrame:
+    """jaccard_join with every pair of documents, copies included: (doc_a, doc_b, jaccard), doc_a < doc_b,
+    as many as the square of the number of copies.  Of a doc_id with several texts the greatest counts."""
+    members, pairs = similar_sets(docs, n, t)
+    m = members.select("fp", "doc_id").distinct()
+    found = m.toDF("fp", "x").join(m.toDF("fp", "y"), "fp").filter("x < y").select("x", "y", F.lit(1.0).alias("jaccard"))
+    found = found.unionAll(pairs.select("fa", "fb", "jaccard").join(m.toDF("fa", "x"), "fa").join(m.toDF("fb", "y"), "fb").filter("x <> y").select("x", "y", "jaccard"))
+    return found.groupBy(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b")).agg(F.max("jaccard").alias("jaccard"))
 
 
 def near_dedup(docs: DataFrame, n: int = N, t: float = THRESHOLD) -> DataFrame:

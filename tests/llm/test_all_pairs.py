@@ -1,0 +1,8 @@
+from terralit.llm import ngram_join
+
+
+def test_all_pairs_has_the_pairs_of_copies(spark):
+    a = "one two three four five six seven eight nine ten"
+    rows = [(1, a), (2, a), (3, a + " eleven"), (4, a), (9, "nothing like the others is here")]
+    got = {(x.doc_a, x.doc_b): x.jaccard for x in ngram_join.all_pairs(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, 2): 1.0, (1, 4): 1.0, (2, 4): 1.0, (1, 3): 8 / 9, (2, 3): 8 / 9, (3, 4): 8 / 9}
