@@ -185,9 +185,9 @@ class Pieces:
     def compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Of each pair of pieces, whether merging leaves it as it is; remembered in a table by hash."""
         if not hasattr(self, "known"):
-            self.known, self.told = np.full(1 << 22, -1, np.int64), np.zeros(1 << 22, bool)
+            self.known, self.told = np.full(1 << 20, -1, np.int64), np.zeros(1 << 20, bool)
         key = a.astype(np.int64) * len(self.pieces) + b
-        slot = (key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(42)).astype(np.int64)
+        slot = (key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(44)).astype(np.int64)
         out = self.told[slot]
         new = np.flatnonzero(self.known[slot] != key)
         if len(new):
@@ -304,6 +304,7 @@ class Pieces:
         per = n[code] if len(code) else np.zeros(0, np.int64)
         at = np.repeat(begin[code] - np.cumsum(per) + per, per) + np.arange(int(per.sum())) if len(code) else np.zeros(0, np.int64)
         tokens = ids[at]
+        del at
         word_ends = np.concatenate(([0], np.cumsum(per)))
         ends = word_ends[np.concatenate(([0], np.cumsum(sizes)))]
         out = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(tokens), mask=pc.is_null(texts))
@@ -342,36 +343,54 @@ def model(path: str) -> Pieces:
     return Pieces.load(path)
 
 
-def _batches(df: DataFrame, column: str, name: str, kind: T.DataType, convert) -> DataFrame:
-    """df with `name` made from `column` in Arrow batches, all other columns passed on untouched."""
-    names = [c for c in df.columns if c != name]
+def _batches(df: DataFrame, column: str, made: list[T.StructField], convert) -> DataFrame:
+    """df with the fields `made` from `column` in Arrow batches, all other columns passed on untouched."""
+    own = {f.name for f in made}
+    names = [c for c in df.columns if c not in own]
     at = names.index(column)
-    schema = T.StructType([f for f in df.schema.fields if f.name != name]).add(name, kind)
+    schema = T.StructType([*(f for f in df.schema.fields if f.name not in own), *made])
 
     def run(batches):
         for whole in batches:
             step = max(1, len(whole) * SLICE // max(1, whole.nbytes))
-            for lo in range(0, len(whole), step):  # so many rows at a time that working arrays stay small
+            for lo in range(0, max(1, len(whole)), step):  # so many rows at a time that working arrays stay small
                 b = whole.slice(lo, step)
-                yield pa.RecordBatch.from_arrays([*b.columns, convert(b.column(at))], names=[*b.schema.names, name])
-            if not len(whole):
-                yield pa.RecordBatch.from_arrays([*whole.columns, convert(whole.column(at))], names=[*whole.schema.names, name])
+                yield pa.RecordBatch.from_arrays([*b.columns, *convert(b.column(at))], names=[*b.schema.names, *(f.name for f in made)])
 
     return df.select(*[F.col(f"`{c}`") for c in names]).mapInArrow(run, schema)
 
 
+TOKENS = T.StructField("tokens", T.ArrayType(T.IntegerType()))
+
+
 def encode(df: DataFrame, column: str = "text", path: str = MODEL) -> DataFrame:
     """df with tokens (array<int>): the ids of the pieces of a text column.
 
     Null texts give null, empty texts no tokens.  Texts are encoded whole, however long; characters the
-    model lacks become byte pieces.  Rows are independent and nothing is shuffled; a column tokens is
-    replaced, all others are kept."""
+    model lacks become byte pieces.  Of equally good paths the one found first stays, so ties are broken
+    alike everywhere.  Rows are independent, so repeated rows get the same tokens, and nothing is
+    shuffled; an empty table gives none.  A column tokens is replaced, all others are kept."""
     ready(df.sparkSession)
-    return _batches(df, column, "tokens", T.ArrayType(T.IntegerType()), lambda a: model(path).encode_many(a))
+    return _batches(df, column, [TOKENS], lambda a: [model(path).encode_many(a)])
 
 
 def decode(df: DataFrame, column: str = "tokens", path: str = MODEL, name: str = "decoded") -> DataFrame:
-    """df with decoded (string): the text of an array of ids.  Null gives null, no tokens an empty text.
-    What encode() made of a text without a NUL or U+2581 decodes to that text."""
+    """df with decoded (string): the text of an array of ids.  Null gives null, no tokens an empty text;
+    a column of that name is replaced.  What encode() made of a text without a NUL or U+2581 decodes to
+    that text."""
     ready(df.sparkSession)
-    return _batches(df, column, name, T.StringType(), lambda a: pc.cast(model(path).decode_many(a), pa.string()))
+    return _batches(df, column, [T.StructField(name, T.StringType())], lambda a: [pc.cast(model(path).decode_many(a), pa.string())])
+
+
+def verified(df: DataFrame, column: str = "text", path: str = MODEL) -> DataFrame:
+    """encode() and decode() in one pass: df with tokens, and round_trip (boolean), whether the tokens
+    decode to the very text (null to null).  One worker holds one model, and the decoded text stays
+    in it."""
+    ready(df.sparkSession)
+
+    def both(texts: pa.Array) -> list[pa.Array]:
+        tokens = model(path).encode_many(texts)
+        same = pc.equal(model(path).decode_many(tokens), pc.cast(texts, pa.large_string()))
+        return [tokens, pc.fill_null(same, True)]  # null where both are
+
+    return _batches(df, column, [TOKENS, T.StructField("round_trip", T.BooleanType())], both)

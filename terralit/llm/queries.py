@@ -35,8 +35,8 @@ def op6_nearest_neighbours(spark, sf_dir):
 
 
 def op7_sentencepiece(spark, sf_dir):
-    tokens = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return pieces.decode(tokens).select("doc_id", "tokens", F.size("tokens").alias("n_tokens"), F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+    tokens = pieces.verified(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return tokens.select("doc_id", "tokens", F.size("tokens").alias("n_tokens"), "round_trip")
 
 
 def op8_license_scan(spark, sf_dir):
