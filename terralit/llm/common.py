@@ -61,7 +61,30 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    MADE[id(back)] = (path, back)
+    return back
+
+
+#: The tables of written() that are still there, by the identity of the DataFrame.
+MADE: dict[int, tuple[str, DataFrame]] = {}
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table of written() from the shared folder, once all that was made of it is written itself."""
+    spark = df.sparkSession
+    for path in (MADE.pop(id(df), None),):
+        if path:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path[0])
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like `name` that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while f"__{name}" in taken:
+        name = f"_{name}"
+    return f"__{name}"
 
 
 def parts(spark: SparkSession) -> int:
