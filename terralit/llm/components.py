@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import written
+from .common import discard, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -27,7 +27,9 @@ def components(edges: DataFrame) -> DataFrame:
         small = (large.groupBy("u").agg(F.min("v").alias("root"), F.collect_set("v").alias("ms"))
                  .select(F.explode(F.array_union("ms", F.array("u"))).alias("u"), F.col("root").alias("v"))
                  .filter("u <> v").distinct())
-        now = written(small, "cc")
+        old, now = now, written(small, "cc")
+        if old is not nodes:
+            discard(old)
         mark = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if seen == mark:
             break

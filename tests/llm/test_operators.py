@@ -93,20 +93,88 @@ def _near(seed):
     return rows + [(900, ""), (901, "!!"), (902, None), (None, "a b c d"), (3, rows[3][1]), (903, rows[3][1]), (904, words(99, 8000)), (905, words(99, 8000) + " end")]
 
 
-def test_jaccard_join_is_brute_force(spark):
-    rows = _near(5)
+def _brute(rows, t=0.5):
+    """(doc_ids of each set, linked pairs of sets with their Jaccard)."""
     sets = {}
-    for i, t in rows:
-        if i is not None and t is not None and _grams(t):
-            sets.setdefault(_grams(t), set()).add(i)
-    want = {(min(s), i, 1.0) for s in sets.values() for i in s if i > min(s)}
+    for i, x in rows:
+        if i is not None and x is not None and _grams(x):
+            sets.setdefault(_grams(x), set()).add(i)
+    links = {}
     for a, b in itertools.combinations(sets, 2):
         j = len(a & b) / len(a | b)
-        x, y = sorted((min(sets[a]), min(sets[b])))
-        if j >= 0.5 and x < y:
-            want.add((x, y, round(j, 9)))
-    got = [(x.doc_a, x.doc_b, round(x.jaccard, 9)) for x in ngram_join.jaccard_join(docs(spark, rows)).collect()]
+        if j >= t:
+            links[a, b] = j
+    return sets, links
+
+
+def _classes(sets, links):
+    root = {s: min(sets[s]) for s in sets}
+    for _ in sets:
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    return root
+
+
+def test_jaccard_join_is_brute_force(spark):
+    rows = _near(5)
+    sets, links = _brute(rows)
+    root = _classes(sets, links)
+    want = {(i, root[s], sum(s in p for p in links), len(sets[s]) - 1) for s in sets for i in sets[s]} | {(i, i, 0, 0) for i in (900, 901, 902)}
+    got = [tuple(x) for x in ngram_join.jaccard_join(docs(spark, rows)).collect()]
     assert len(got) == len(set(got)) and set(got) == want
+    pairs = {(min(x, y), max(x, y)): 1.0 for s in sets for x in sets[s] for y in sets[s] if x != y}
+    for (a, b), j in links.items():
+        for x, y in itertools.product(sets[a], sets[b]):
+            if x != y:
+                pairs[min(x, y), max(x, y)] = max(j, pairs.get((min(x, y), max(x, y)), 0))
+    found = {(x.doc_a, x.doc_b): x.jaccard for x in ngram_join.similar_pairs(docs(spark, rows)).collect()}
+    assert found == pytest.approx(pairs)
+
+
+def _mixed(seed):
+    """Sets of 3 to 60 grams of few words, so that lists of grams are long and those of subsets short, and a crowd."""
+    r, rows = random.Random(seed), []
+    some = [" ".join(r.choice("abcde") for _ in range(3)) for _ in range(60)]
+    for k in range(150):
+        rows.append((k, "  ".join(f"{g} {k}x{n}" if r.random() < 0.2 else g for n, g in enumerate(r.sample(some, r.choice((2, 3, 4, 6, 10)))))))
+    for b, (few, many) in enumerate(((60, 90), (17, 32), (9, 12))):
+        base = words(77 + b, 90).split()
+        rows += [(200 + 100 * b + k, " ".join(w if r.random() > 0.02 else f"q{k}" for w in base[:r.randint(few, many)])) for k in range(40)]
+    return rows
+
+
+@pytest.mark.parametrize("light_to, crowd, most", [(None, 16, 2048), (-1, 0.5, 16), (8, 2, 16), (8, 1e9, 2048), (99, 1, 7)])
+def test_light_heavy_and_crowds_are_brute_force(spark, light_to, crowd, most):
+    rows = _mixed(3)
+    sets, links = _brute(rows)
+    light = [len(s) <= 22 for s in sets]
+    assert any(len(a) <= 22 < len(b) or len(b) <= 22 < len(a) for a, b in links) and any(max(len(a), len(b)) <= 22 for a, b in links) and any(min(len(a), len(b)) > 22 for a, b in links)
+    assert any(light) and not all(light)
+    name = {}
+    members, found = ngram_join.similar_sets(docs(spark, rows), whole=True, light_to=light_to, crowd=crowd, most=most)
+    for m in members.collect():
+        name[m.fp] = min(m.doc_id, name.get(m.fp, m.doc_id))
+    got = {(min(name[x.a], name[x.b]), max(name[x.a], name[x.b])): x.jaccard for x in found.collect()}
+    assert got == pytest.approx({tuple(sorted((min(sets[a]), min(sets[b])))): j for (a, b), j in links.items()})
+
+
+def test_the_boundary_pays_on_lists_that_are_longer_than_those_of_subsets(spark):
+    r = random.Random(4)
+    some = [" ".join(r.choice("abcdefgh") for _ in range(3)) for _ in range(300)]
+    short = [(k, " ".join(r.sample(some, 2))) for k in range(500)]
+    long = [(1000 + k, words(k // 2, 400) + f" end {k}") for k in range(40)]
+    report = {}
+    ngram_join.similar_sets(docs(spark, short + long), report=report)
+    assert 0 < report["light_to"] < report["costs"]["c"].max()
+
+
+def test_counts_of_common_grams():
+    r = np.random.default_rng(1)
+    make = lambda n: [np.unique(np.concatenate((r.choice(np.arange(40, dtype=np.uint64), 12), r.integers(100, 1 << 20, 5).astype(np.uint64)))) for _ in range(n)]
+    a, b = make(70), make(90) + [np.zeros(0, np.uint64)]
+    want = [[len(np.intersect1d(x, y)) for y in b] for x in a]
+    assert ngram_join._counts(a, b).tolist() == want and ngram_join._counts(a, b, 300).tolist() == want
+    assert ngram_join._counts([], b).shape == (0, 91)
 
 
 def test_near_dedup_keeps_one_of_each_group(spark):
@@ -114,9 +182,11 @@ def test_near_dedup_keeps_one_of_each_group(spark):
     kept = ngram_join.near_dedup(docs(spark, rows))
     assert kept.columns == ["doc_id", "text", "fp", "size", "keep", "home"]
     ids = [x.doc_id for x in kept.collect()]
-    assert {900, 901, 902, None, 904} <= set(ids) and 903 not in ids and 905 not in ids
-    assert ngram_join.jaccard_join(kept.dropDuplicates(["doc_id"])).count() == 0
+    sets, links = _brute(rows)
+    assert sorted(i for i in ids if i is not None) == sorted({*_classes(sets, links).values(), 900, 901, 902}) and None in ids
     assert ngram_join.jaccard_join(docs(spark, [])).count() == 0
+    clash = spark.createDataFrame([(1, words(1, 30), "a", "b"), (2, words(1, 30), "c", "d")], "doc_id long, text string, __k1 string, __stays string")
+    assert [tuple(x)[2:] for x in ngram_join.near_dedup(clash).collect()] == [("a", "b")]
 
 
 def test_components(spark):
