@@ -274,13 +274,13 @@ def test_jpeg_table(spark):
 
 # --- 6 -----------------------------------------------------------------------------------
 
-@pytest.mark.parametrize("shard_rows", [10_000, 300])
-def test_neighbours_recall(spark, shard_rows):
+@pytest.mark.parametrize("cell, task_rows", [(10_000, 131_072), (200, 131_072), (200, 90)])
+def test_neighbours_recall(spark, cell, task_rows):
     r = np.random.default_rng(6)
     x = r.normal(0, 1, (900, 12)) + r.integers(0, 4, (900, 1)) * 3
-    rows = [(i, v.tolist(), "z") for i, v in enumerate(x)] + [(5000, None, "z"), (5001, [], "z"), (5002, [1.0], "z"), (5003, [float("nan")] * 12, "z"), (None, x[0].tolist(), "z"), (7, x[7].tolist(), "z")]
-    got = ann.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank string"), k=5, shard_rows=shard_rows).collect()
-    assert len(got) == 4500 and {x.vec_id for x in got} == set(range(900))
+    rows = [(i, v.tolist(), "z") for i, v in enumerate(x)] + [(5000, None, "z"), (5005, [], "z"), (5010, [1.0], "z"), (5015, [float("nan")] * 12, "z"), (None, x[0].tolist(), "z"), (5, x[5].tolist(), "z")]
+    got = ann.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank string"), k=5, every=5, cell=cell, task_rows=task_rows).collect()
+    assert len(got) == 900 and {x.vec_id for x in got} == set(range(0, 900, 5))
     d = ((x[:, None] - x) ** 2).sum(2)
     np.fill_diagonal(d, np.inf)
     best = d.argsort(1, kind="stable")[:, :5]
@@ -288,11 +288,12 @@ def test_neighbours_recall(spark, shard_rows):
     assert all(abs(g.distance - d[g.vec_id, g.neighbor_id] ** 0.5) < 1e-9 and g.vec_id != g.neighbor_id for g in got)
 
 
-def test_neighbours_of_equal_and_few_rows(spark):
-    same = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(400)], "vec_id long, embedding array<float>")
-    got = ann.neighbours(same, k=3).filter("vec_id = 9").orderBy("rank").collect()
-    assert [x.neighbor_id for x in got] == [0, 1, 2]
-    assert ann.neighbours(same.limit(2), k=3).count() == 2 and ann.neighbours(same.limit(0)).count() == 0
+def test_neighbours_of_equal_and_few_rows_and_other_lengths(spark):
+    same = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(400)] + [(1000 + i, [float(i)]) for i in range(6)], "vec_id long, embedding array<float>")
+    got = ann.neighbours(same, k=3, every=1, task_rows=50)
+    assert [x.neighbor_id for x in got.filter("vec_id = 9").orderBy("rank").collect()] == [0, 1, 2]
+    assert [x.neighbor_id for x in got.filter("vec_id = 1002").orderBy("rank").collect()] == [1001, 1003, 1000]
+    assert ann.neighbours(same.limit(2), k=3, every=1).count() == 2 and ann.neighbours(same.limit(0)).count() == 0
 
 
 # --- 7 -----------------------------------------------------------------------------------
