@@ -10,7 +10,8 @@ from .common import U64, ready, word_hashes
 
 FIT_POSITIVES, FIT_UNLABELLED = 4000, 8000
 BUCKETS, UNITS, STEPS, BATCH, DECAY, SEED = 1 << 14, 24, 500, 512, 1e-3, 11
-LOST = 0.002
+#: The most of the trusted positives that the cut may lose, and the parts of the cross-fit.
+LOST, FOLDS = 0.02, 3
 
 _CLASS = np.full(256, 5, np.int64)
 _CLASS[97:123], _CLASS[65:91], _CLASS[48:58], _CLASS[[32, 9]], _CLASS[[10, 13]] = 0, 1, 2, 3, 4
@@ -159,21 +160,41 @@ class Model:
         self.net.m = {}
 
 
-def fit(dense: np.ndarray, rows: list[np.ndarray], positive: np.ndarray, seed: int = SEED, steps: int = STEPS, lost: float = LOST) -> Model:
+def best_cut(pos: np.ndarray, unl: np.ndarray, prior: float, lost: float = LOST) -> float:
+    """The cut of least non-negative risk with the 0-1 loss, of the scores of held-out positives and unlabelled rows: prior *
+    P(positive below) + max(0, P(unlabelled from it) - prior * P(positive from it)).  It is at most 0, where
+    the surrogate's sign changes, and loses at most `lost` of the positives; of equal risks the lower wins."""
+    pos, unl = np.sort(pos), np.sort(unl)
+    cuts = np.unique(np.concatenate((pos, unl, [0.0])))
+    below = np.searchsorted(pos, cuts) / len(pos)
+    risk = prior * below + np.maximum(0, 1 - np.searchsorted(unl, cuts) / len(unl) - prior * (1 - below))
+    risk[(cuts > 0) | (below > lost)] = np.inf
+    return float(cuts[np.argmin(risk)])
+
+
+def fit(dense: np.ndarray, rows: list[np.ndarray], positive: np.ndarray, seed: int = SEED, steps: int = STEPS, lost: float = LOST, folds: int = FOLDS) -> Model:
     """A classifier from features and the mask of trusted positives; the other rows are unlabelled.
 
-    A fifth of each is held out.  It gives the prior, by a first net of positives against unlabelled, and
-    the cut: 0, where the risk's sign changes, or lower if that lost more than `lost` of the held-out
-    trusted positives."""
+    Cross-fitted: each of `folds` parts of the rows is scored by nets that were trained on the others, first
+    positives against unlabelled, whose scores of all parts give the prior, then by the non-negative
+    risk with that prior, whose scores give the cut.  The net itself is trained on all rows."""
     words, r = Words(rows), np.random.default_rng(seed)
-    pos, unl = r.permutation(np.flatnonzero(positive)), r.permutation(np.flatnonzero(~positive))
-    hp, hu = pos[:max(1, len(pos) // 5)], unl[:max(1, len(unl) // 5)]
-    tp, tu = pos[len(hp):] if len(pos) > 1 else pos, unl[len(hu):] if len(unl) > 1 else unl
-    first = _train(dense, words, tp, tu, None, seed, steps // 2)
-    prior = class_prior(first.score(dense, words, hp), first.score(dense, words, hu))
-    net = _train(dense, words, tp, tu, prior, seed + 1, steps)
-    held = np.sort(net.score(dense, words, hp))
-    return Model(net, prior, min(0.0, float(held[int(lost * len(held))]) - 1e-9))
+    part = np.zeros(len(positive), np.int64)
+    for own in (np.flatnonzero(positive), np.flatnonzero(~positive)):
+        part[r.permutation(own)] = np.arange(len(own)) % folds
+    both = np.flatnonzero(positive), np.flatnonzero(~positive)
+
+    def held(prior: float | None, n: int) -> np.ndarray:
+        out = np.zeros(len(positive))
+        for k in range(folds):
+            p, u = (x[part[x] != k] if (part[x] != k).any() else x for x in both)
+            out[part == k] = _train(dense, words, p, u, prior, seed + 2 * k, n).score(dense, words, np.flatnonzero(part == k))
+        return out
+
+    first = held(None, steps // 2)
+    prior = class_prior(first[positive], first[~positive])
+    second = held(prior, steps)
+    return Model(_train(dense, words, *both, prior, seed + 1, steps), prior, best_cut(second[positive], second[~positive], prior, lost))
 
 
 def trained(docs: DataFrame, labels: DataFrame, positives: int = FIT_POSITIVES, unlabelled: int = FIT_UNLABELLED) -> Model | None:
@@ -210,11 +231,12 @@ def classify(docs: DataFrame, labels: DataFrame, positives: int = FIT_POSITIVES,
     """docs (doc_id, text, ...), labels (doc_id, quality, toxic, ...) -> docs' columns, quality_score
     (double) and keep (boolean).
 
-    The fit is on a bounded sample; every row is scored over its whole text, with no shuffle.  A null text
+    The fit is on a bounded sample; every row is scored over its whole text, however long, with no shuffle.  A null text
     has a null score and isn't kept.  An empty text is scored like any other (its words and bytes are
     none).  If there is no trusted positive or nothing unlabelled, nothing can be learnt: scores are null
     and every text that isn't null is kept.  Rows are independent, so repeated rows score alike; of a
-    doc_id labelled twice the worst label counts.  Columns quality_score and keep of docs are replaced,
+    doc_id labelled twice the worst label counts.  A score that equals the cut is kept.  An empty table stays
+    empty.  Columns quality_score and keep of docs are replaced,
     all others kept."""
     ready(docs.sparkSession)
     model = trained(docs, labels, positives, unlabelled)
