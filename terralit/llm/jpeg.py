@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import functools
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import ready
+from .common import ready, unused
 
+#: Images of more pixels aren't decoded: coefficients, planes and tensor take some 40 bytes a pixel.
+MAX_PIXELS = 1 << 24
 ZIGZAG = np.array(sorted(range(64), key=lambda k: (k // 8 + k % 8, (k // 8 if (k // 8 + k % 8) % 2 else k % 8))))
 _U = np.arange(8)
 DCT = np.where(_U[:, None] == 0, np.sqrt(1 / 8), 0.5 * np.cos((2 * _U[None, :] + 1) * _U[:, None] * np.pi / 16))
@@ -68,7 +71,12 @@ class Component:
     def shape(self, width: int, height: int, hmax: int, vmax: int):
         self.cols, self.rows = -(-width // (8 * hmax)) * self.h, -(-height // (8 * vmax)) * self.v
         self.own_cols, self.own_rows = -(-(-(-width * self.h // hmax)) // 8), -(-(-(-height * self.v // vmax)) // 8)
-        self.coef = [0] * (64 * self.cols * self.rows)
+        self.coef = array("h")
+
+    def room(self):
+        """The 16-bit coefficient array, made when the first scan comes, so a header alone takes no memory."""
+        if not self.coef:
+            self.coef = array("h", bytes(128 * self.cols * self.rows))
 
 
 def _ac_first(b: Bits, coef, base, table, lo, hi, al, run):
@@ -133,6 +141,8 @@ def _ac_refine(b: Bits, coef, base, table, lo, hi, al, run):
 
 def _scan(parts: list[bytes], comps, dc, ac, lo, hi, ah, al, restart, width_mcu, height_mcu, progressive):
     """One scan into the coefficient arrays.  parts are the segments between restart markers."""
+    for c in comps:
+        c.room()
     if len(comps) > 1:
         units = [(my, mx) for my in range(height_mcu) for mx in range(width_mcu)]
     else:
@@ -165,7 +175,8 @@ def _scan(parts: list[bytes], comps, dc, ac, lo, hi, ah, al, restart, width_mcu,
 def _planes(c: Component, q: np.ndarray) -> np.ndarray:
     """Samples of a component: dequantised, inverse-transformed, levels shifted."""
     blocks = np.zeros((c.rows * c.cols, 64))
-    blocks[:, ZIGZAG] = np.array(c.coef, np.float64).reshape(-1, 64) * q
+    c.room()
+    blocks[:, ZIGZAG] = np.frombuffer(c.coef, np.int16).astype(np.float64).reshape(-1, 64) * q
     px = DCT.T @ blocks.reshape(-1, 8, 8) @ DCT
     px = np.clip(np.floor(px + 128.5), 0, 255).astype(np.int64)
     return px.reshape(c.rows, c.cols, 8, 8).swapaxes(1, 2).reshape(c.rows * 8, c.cols * 8)
@@ -188,11 +199,12 @@ def upsample(p: np.ndarray, fy: int, fx: int) -> np.ndarray:
     return np.repeat((p + unit // 2) // unit, fx, 1)
 
 
-def decode(data: bytes) -> np.ndarray:
+def decode(data: bytes, max_pixels: int = MAX_PIXELS) -> np.ndarray:
     """(height, width, 3) uint8 RGB of a JPEG: progressive, or sequential with Huffman codes.
 
     The scans fill one coefficient array per component, spectral bands and successive bits in any order;
-    gray images get three equal channels.  ValueError for what isn't such a file."""
+    gray images get three equal channels.  ValueError for what isn't such a file, and for images of more
+    than max_pixels, whose tensors a worker couldn't hold."""
     if data[:2] != b"\xff\xd8":
         raise ValueError("not a JPEG")
     at, quant, huff, comps, restart, adobe = 2, {}, {}, [], 0, None
@@ -230,6 +242,8 @@ def decode(data: bytes) -> np.ndarray:
             comps = [Component(body[6 + 3 * k], body[7 + 3 * k] >> 4, body[7 + 3 * k] & 15, body[8 + 3 * k]) for k in range(body[5])]
             if not width or not height or len(comps) not in (1, 3) or not all(c.h and c.v for c in comps):
                 raise ValueError("a size or number of components that isn't read")
+            if width * height > max_pixels:
+                raise ValueError(f"{width} x {height} pixels are more than {max_pixels}")
             hmax, vmax = max(c.h for c in comps), max(c.v for c in comps)
             if len(comps) == 1:
                 comps[0].h = comps[0].v = hmax = vmax = 1
@@ -491,15 +505,17 @@ def encode(rgb: np.ndarray, q: int = 6, sub: tuple[int, int] = (2, 2), restart:
 OUT = "width int, height int, rgb binary, error string"
 
 
-def decode_media(media: DataFrame, column: str = "jpeg") -> DataFrame:
+def decode_media(media: DataFrame, column: str = "jpeg", max_pixels: int = MAX_PIXELS) -> DataFrame:
     """media (jpeg binary, ...) -> the same rows and columns, with width, height, rgb (height * width * 3
     bytes, row by row) and error added.
 
-    Null and empty bytes, and bytes that aren't a whole JPEG of the kinds read, give null tensors; error
-    says why, and is null for null bytes and for images that were read.  Images are decoded whole, rows
-    alone, so repeats and ties have no effect.  Columns of the four names are replaced.  No shuffle."""
+    Null and empty bytes, and bytes that aren't a whole JPEG of the kinds read, give null tensors, as do images
+    of more than max_pixels and ones for which a worker's memory is too small; error says why, and is null
+    for null bytes and for images that were read.  Images are decoded whole, rows alone, so repeats and ties
+    have no effect.  An empty table stays empty.  Columns width, height, rgb and error are replaced, all
+    others are kept whatever their names.  No shuffle."""
     ready(media.sparkSession)
-    names = [c for c in media.columns if c not in ("width", "height", "rgb", "error")]
+    names, made = [c for c in media.columns if c not in ("width", "height", "rgb", "error")], unused(media, "m")
 
     @F.pandas_udf(OUT)
     def read(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -510,15 +526,15 @@ def decode_media(media: DataFrame, column: str = "jpeg") -> DataFrame:
                     rows.append((None, None, None, None))
                     continue
                 try:
-                    px = decode(bytes(b))
+                    px = decode(bytes(b), max_pixels)
                     rows.append((px.shape[1], px.shape[0], px.tobytes(), None))
-                except (ValueError, KeyError, IndexError, TypeError) as e:
+                except (ValueError, KeyError, IndexError, TypeError, OverflowError, MemoryError) as e:
                     rows.append((None, None, None, f"{type(e).__name__}: {e}"))
             out = pd.DataFrame(rows, columns=["width", "height", "rgb", "error"])
             yield out.astype({"width": "Int32", "height": "Int32"})
 
-    done = media.select(*[F.col(f"`{c}`") for c in names], read(F.col(f"`{column}`")).alias("__m"))
-    return done.select(*[F.col(f"`{c}`") for c in names], "__m.*")
+    done = media.select(*[F.col(f"`{c}`") for c in names], read(F.col(f"`{column}`")).alias(made))
+    return done.select(*[F.col(f"`{c}`") for c in names], f"{made}.*")
 
 
 def picture(values: np.ndarray, ident: int) -> np.ndarray:
