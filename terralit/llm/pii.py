@@ -15,8 +15,8 @@ from .common import ready, unused
 
 KINDS = ("EMAIL", "PHONE", "IP", "CARD", "SECRET", "IBAN", "SSN")
 LABELS = 1 + 2 * len(KINDS)  # O, then B and I of each kind
-HIDDEN, WINDOW, STRIDE, LANES = 16, 1024, 928, 512
-STEPS, BATCH, LENGTH, SEED = 1500, 24, 192, 7
+HIDDEN, WINDOW, STRIDE, LANES = 16, 512, 448, 512
+STEPS, BATCH, LENGTH, SEED = 1600, 20, 256, 7
 #: No kind has a shorter form: the least address is a@b.c.
 LEAST = 5
 
@@ -336,20 +336,19 @@ def _live(sizes: np.ndarray, t: int) -> int:
 
 
 def scores(p, x: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Emissions (T, N, LABELS - 1) of the lanes x (T, N), longest first: of each B, then of each I, less that of O.
+    """Emissions (T, LABELS - 1, N) of the lanes x (T, N), longest first: of each B, then of each I, less that of O.
     A lane takes part as long as it has characters, so nothing of the others and no padding gets into
     its states."""
     H, (T, n) = HIDDEN, x.shape
-    out = np.zeros((T, n, LABELS - 1), np.float32)
+    out = np.zeros((T, LABELS - 1, n), np.float32)
     live = [_live(sizes, t) for t in range(T)]
     one, half = np.float32(1), np.float32(0.5)
     g, u = np.zeros((4, n, H), np.float32), np.zeros((4, n, H), np.float32)  # a block for each gate
-    a, e = np.empty((n, H), np.float32), np.empty((n, LABELS - 1), np.float32)
+    a = np.empty((n, H), np.float32)
     by_gate = lambda w: np.ascontiguousarray(w.reshape(len(w), 4, H).transpose(1, 0, 2))
-    bias = (p["bo"] - p["bo"][0])[_ORDER]
     for d, order, wo in (("f", range(T), p["wo"][:H]), ("b", range(T - 1, -1, -1), p["wo"][H:])):
         w, v = by_gate(p["x" + d]), by_gate(p["h" + d] * half)
-        wo = np.ascontiguousarray(((wo - wo[:, :1]) * half)[:, _ORDER])  # h is kept doubled
+        wo = np.ascontiguousarray(((wo - wo[:, :1]) * half)[:, _ORDER].T)  # h is kept doubled
         h, c = np.zeros((n, H), np.float32), np.zeros((n, H), np.float32)
         for t in order:
             m = live[t]
@@ -371,11 +370,8 @@ def scores(p, x: np.ndarray, sizes: np.ndarray) -> np.ndarray:
             A += one
             np.divide(C, A, out=A)
             np.multiply(G[2], A, out=h[:m])
-            np.matmul(h[:m], wo, out=e[:m])
-            if d == "f":
-                np.add(e[:m], bias, out=out[t, :m])
-            else:
-                out[t, :m] += e[:m]
+            out[t, :, :m] += wo @ h[:m].T
+    out += (p["bo"] - p["bo"][0])[_ORDER][:, None]
     return out
 
 
@@ -386,47 +382,49 @@ _ORDER = np.r_[1:LABELS:2, 2:LABELS:2]
 def doubtful(e: np.ndarray, sizes: np.ndarray, t: np.ndarray, t0: np.ndarray) -> np.ndarray:
     """The lanes whose best path may leave O.  In the others no run of other labels can gain anything: runs of one kind
     count exactly, and changes of kind within a run with the best of such transitions, so none is missed."""
-    o, B, n = t[0, 0], len(KINDS), e.shape[1]
+    o, B, n = t[0, 0], len(KINDS), e.shape[2]
     w = t[np.ix_(_ORDER, _ORDER)] - o
-    enter, leave, first = t[0, _ORDER] - o, t[_ORDER, 0] - o, t0[_ORDER] - t0[0]
+    leave, first = t[_ORDER, 0] - o, t0[_ORDER] - t0[0]
     k = np.arange(B)
-    begun, on = w[k, B + k].copy(), w[B + k, B + k].copy()
+    wide = lambda v: np.ascontiguousarray(np.broadcast_to(v.astype(np.float32)[:, None], (len(v), n)))
+    enter, begun, on = wide(t[0, _ORDER] - o), wide(w[k, B + k]), wide(w[B + k, B + k])
     w[k, B + k] = w[B + k, B + k] = -np.inf
-    change = w.max(0)
-    f = first + e[0]
+    change = wide(w.max(0))
+    f = first[:, None] + e[0]
     best = f.copy()
     last = np.full(n, -np.inf, np.float32)
-    last[sizes == 1] = f[sizes == 1].max(1)
+    last[sizes == 1] = f[:, sizes == 1].max(0)
+    live = [_live(sizes, j) for j in range(len(e))] + [0]
     for j in range(1, len(e)):
-        m = _live(sizes, j)
-        old = f[:m]
-        new = np.maximum(old.max(1, keepdims=True) + change, enter)
-        np.maximum(new[:, B:], old[:, B:] + on, out=new[:, B:])
-        np.maximum(new[:, B:], old[:, :B] + begun, out=new[:, B:])
-        new += e[j, :m]
+        m, z = live[j], live[j + 1]
+        old = f[:, :m]
+        new = change[:, :m] + old.max(0)
+        np.maximum(new, enter[:, :m], out=new)
+        np.maximum(new[B:], old[B:] + on[:, :m], out=new[B:])
+        np.maximum(new[B:], old[:B] + begun[:, :m], out=new[B:])
+        new += e[j, :, :m]
         f = new
-        np.maximum(best[:m], new, out=best[:m])
-        z = _live(sizes, j + 1)
+        np.maximum(best[:, :m], new, out=best[:, :m])
         if z < m:
-            last[z:m] = new[z:m].max(1)
-    return np.flatnonzero(np.maximum((best + leave).max(1), last) >= -1e-2)
+            last[z:m] = new[:, z:m].max(0)
+    return np.flatnonzero(np.maximum((best + leave[:, None]).max(0), last) >= -1e-2)
 
 
 def viterbi(e, t, t0, sizes) -> np.ndarray:
     """Best labels (T, N) for the emissions of scores(); 0 beyond a lane."""
-    T, n, _ = e.shape
+    T, _, n = e.shape
     live = [_live(sizes, k) for k in range(T)] + [0]
     order = np.r_[0, _ORDER]
     t, t0 = np.ascontiguousarray(t[np.ix_(order, order)].T), t0[order]  # to, from
     full = np.zeros((n, LABELS), np.float32)
     back = np.zeros((T, n, LABELS), np.int8)
-    full[:, 1:] = e[0]
+    full[:, 1:] = e[0].T
     s = full + t0
     for k in range(1, T):
         m = live[k]
         a = s[:m, None, :] + t
         back[k, :m] = a.argmax(2)
-        full[:m, 1:] = e[k, :m]
+        full[:m, 1:] = e[k, :, :m].T
         s[:m] = a.max(2) + full[:m]
     out = np.zeros((T, n), np.int64)
     last, cols = s.argmax(1), np.arange(n)
@@ -476,7 +474,7 @@ def find(texts: list[str], p: dict[str, np.ndarray], batch: int = LANES) -> list
         rows = doubtful(emitted, sizes, p["t"], p["t0"])
         if not len(rows):
             continue
-        y = viterbi(emitted[:sizes[rows[0]], rows], p["t"], p["t0"], sizes[rows])
+        y = viterbi(emitted[:sizes[rows[0]]][:, :, rows], p["t"], p["t0"], sizes[rows])
         for n in np.flatnonzero(y.any(0)):
             i, s, e, b = some[rows[n]]
             v = y[:e - s, n]
