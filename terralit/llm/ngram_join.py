@@ -14,7 +14,7 @@ from .components import components
 N = 3
 THRESHOLD = 0.5
 SUBSET = 2
-BUCKET_GRAMS = 4_000_000
+BUCKET_GRAMS = 2_000_000
 KEYS = 1 << 20
 #: A list that would give more than this many pairs a member becomes a star of edges, whose component is compared as a whole.
 CROWD = 16
@@ -526,9 +526,9 @@ def similar_sets(docs: DataFrame, n: int = N, t: float = THRESHOLD, whole: bool
             out.append(_compare(blocks[0], blocks[1] if i != j else None, t))
         return _said(out, whole)
 
-    live = (_grams(docs, n, buckets).repartition(buckets, "bucket").groupBy("bucket")
+    live = (_grams(docs, n, buckets).repartitionById(buckets, "bucket").groupBy("bucket")
             .applyInPandas(shared, "home int, bucket int, fps binary, sizes binary, counts binary, grams binary, dfs binary")
-            .repartition(homes, "home").groupBy("home")
+            .repartitionById(homes, "home").groupBy("home")
             .applyInPandas(survivors, "fp long, size int, n int, n2 int, scan double, grams binary, dfs binary"))
     live = written(live, "live", "uncompressed")
     costs = _costs(live, t)
@@ -539,7 +539,7 @@ def similar_sets(docs: DataFrame, n: int = N, t: float = THRESHOLD, whole: bool
     keys = float(total["n"] or 0) + float(costs["made"][costs["c"] <= light_to].sum() if len(costs) else 0)
     lists = max(parts(spark) // 2, math.ceil(keys / KEYS), 1)
     tasks = max(parts(spark), math.ceil((total["bytes"] or 0) / BLOCK_BYTES))
-    found = written(_postings(live, light_to, t, lists, crowd).repartition(lists, "bucket").groupBy("bucket").applyInPandas(candidates, "a long, b long, found int"), "listed")
+    found = written(_postings(live, light_to, t, lists, crowd).repartitionById(lists, "bucket").groupBy("bucket").applyInPandas(candidates, "a long, b long, found int"), "listed")
     stars = components(found.filter("found < 0").select("a", "b"))
     stars = written(_placed(stars, live, tasks, most), "stars")
     rest = live.select("fp", "size", (F.length("grams") / 8 - F.col("n")).cast("int").alias("rest"))
