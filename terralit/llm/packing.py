@@ -8,8 +8,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from .common import ready, written
+
 WINDOW = 2048
-SHARD_TOKENS = 16_000_000
+SHARD_TOKENS, SHARD_DOCS = 16_000_000, 1_000_000
 
 
 class SumOfSquares:
@@ -57,22 +59,25 @@ OUT = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("wind
                     T.StructField("offset", T.IntegerType())])
 
 
-def pack(docs: DataFrame, capacity: int = WINDOW, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = WINDOW, shard_tokens: int = SHARD_TOKENS, shard_docs: int = SHARD_DOCS, length: str | None = None) -> DataFrame:
     """docs (doc_id, text, ...) -> one row per piece of a document: shard, window, doc_id, piece,
     doc_start (token of the document at which the piece begins), length, offset in the window.
 
-    Tokens are runs of non-space characters.  A document longer than a window is cut into full windows
-    and a rest; nothing is dropped.  The number of shards follows the total of tokens, so that each is a
-    stream of about shard_tokens tokens whatever the size of the corpus; only ids and lengths are
-    shuffled.  In a shard, documents arrive by (doc_id, text hash), null ids first.
+    Tokens are runs of non-space characters, or what the column `length` counts, as the n_tokens of a
+    tokenizer.  A document longer than a window is cut into full windows and a rest; nothing is dropped.  The
+    number of shards follows the totals, so that each is a stream of about shard_tokens tokens and
+    shard_docs documents at most, whatever the size of the corpus; only ids, lengths and hashes are shuffled, and
+    texts are read once.  In a shard, documents arrive by (doc_id, text hash), null ids first.
 
     Null and blank texts have no tokens and give no row.  Repeated rows are packed each.  Null doc_ids
-    are packed and stay null.  Other columns are ignored.  Empty tables give no rows."""
-    items = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
-                        F.regexp_count("text", F.lit(r"\S+")).cast("long").alias("n"),
-                        F.xxhash64("text").alias("h")).filter("n > 0")
-    total = items.agg(F.sum("n")).first()[0] or 0
-    shards = max(1, math.ceil(total / shard_tokens))
+    are packed and stay null.  Of equal levels the fullest wins.  Other columns are ignored, whatever their
+    names.  Empty tables give no rows."""
+    size = F.regexp_count("text", F.lit(r"\S+")) if length is None else F.col(f"`{length}`")
+    items = docs.select(F.col("doc_id").cast("long").alias("doc_id"), size.cast("long").alias("n"), F.xxhash64("text").alias("h")).filter("n > 0")
+    ready(docs.sparkSession)
+    items = written(items, "items")
+    total, many = items.agg(F.sum("n"), F.count("*")).first()
+    shards = max(1, math.ceil((total or 0) / shard_tokens), math.ceil(many / shard_docs))
     items = items.withColumn("shard", F.pmod(F.xxhash64("doc_id", "h"), F.lit(shards)).cast("int"))
 
     def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -92,4 +97,4 @@ def pack(docs: DataFrame, capacity: int = WINDOW, shard_tokens: int = SHARD_TOKE
         return out.assign(piece=np.array(piece, np.int32), doc_start=np.array(start, np.int64),
                           length=np.array(length, np.int32), offset=np.array(offset, np.int32))
 
-    return items.groupBy("shard").applyInPandas(one, OUT)
+    return items.repartitionById(shards, "shard").groupBy("shard").applyInPandas(one, OUT)
