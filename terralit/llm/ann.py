@@ -13,7 +13,7 @@ from .common import ready, written
 K, RECALL, EVERY = 10, 0.95, 50
 BRANCH, LEAF, ROUNDS = 8, 128, 6
 #: Rows that the top levels are fitted on, at most; rows of a cell that they aim at; rows of a task, at most.
-FIT, CELL, TASK_ROWS, CALIBRATION = 65_536, 16_384, 131_072, 200
+FIT, CELL, TASK_ROWS, CALIBRATION = 32_768, 16_384, 131_072, 200
 
 
 def _sq(a: np.ndarray, b: np.ndarray) -> np.ndarray:

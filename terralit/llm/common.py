@@ -72,11 +72,18 @@ MADE: dict[int, tuple[str, DataFrame]] = {}
 
 def discard(df: DataFrame) -> None:
     """Delete a table of written() from the shared folder, once all that was made of it is written itself."""
-    spark = df.sparkSession
-    for path in (MADE.pop(id(df), None),):
-        if path:
-            where = spark._jvm.org.apache.hadoop.fs.Path(path[0])
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    path, _ = MADE.pop(id(df), (None, None))
+    if path:
+        spark = df.sparkSession
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def sweep(keep: DataFrame) -> None:
+    """Delete all tables of written() but `keep`, which the caller has made of them."""
+    for _, df in list(MADE.values()):
+        if df is not keep and df.sparkSession is keep.sparkSession:
+            discard(df)
 
 
 def unused(df: DataFrame, name: str) -> str:

@@ -6,9 +6,9 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import ready, written
+from .common import ready, unused, written
 
 MIN_WORDS = 40
 
@@ -115,21 +115,20 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     (doc_id, hash), null ids last, or further up in the same document.  The first copy stays whole.  Of
     rows with the same doc_id and text, one is kept and each further one is a later copy as a whole if it
     has min_words words.  If all lines go, text is ''.  A null text stays null, with 0 lines removed; an
-    empty text stays.  Other columns, lines_removed excepted, are kept whatever their names."""
+    empty text stays.  Very long texts are compared whole; an empty table stays empty.  A column lines_removed
+    is replaced, all others are kept whatever their names."""
     runs = repeated_runs(docs, min_words)
     names = [c for c in docs.columns if c != "lines_removed"]
-    keyed = docs.select(*[F.col(f"`{c}`") for c in names], F.xxhash64("doc_id", "text").alias("__k1"),
-                        F.xxhash64("text", "doc_id", F.lit(7)).alias("__k2"))
-    from pyspark.sql import Window
-    same = Window.partitionBy("__k1", "__k2").orderBy(F.lit(0))
-    joined = (keyed.join(runs.select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.col("ranges").alias("__ranges")),
-                         ["__k1", "__k2"], "left").withColumn("__copy", F.row_number().over(same) > 1))
+    k1, k2, ranges, copy = (unused(docs, c) for c in ("k1", "k2", "ranges", "copy"))
+    keyed = docs.select(*[F.col(f"`{c}`") for c in names], F.xxhash64("doc_id", "text").alias(k1), F.xxhash64("text", "doc_id", F.lit(7)).alias(k2))
+    same = Window.partitionBy(k1, k2).orderBy(F.lit(0))
+    joined = keyed.join(runs.toDF(k1, k2, ranges), [k1, k2], "left").withColumn(copy, F.row_number().over(same) > 1)
     lines = F.split("text", "\n", -1)
-    whole = F.col("__copy") & (F.regexp_count("text", F.lit(r"\S+")) >= min_words)
-    kept = F.filter(lines, lambda x, i: ~F.exists("__ranges", lambda r: (i >= r["idx"]) & (i < r["to"])))
-    text = F.when(whole, F.lit("")).when(F.col("__ranges").isNotNull(), F.array_join(kept, "\n")).otherwise(F.col("text"))
+    whole = F.col(copy) & (F.regexp_count("text", F.lit(r"\S+")) >= min_words)
+    kept = F.filter(lines, lambda x, i: ~F.exists(ranges, lambda r: (i >= r["idx"]) & (i < r["to"])))
+    text = F.when(whole, F.lit("")).when(F.col(ranges).isNotNull(), F.array_join(kept, "\n")).otherwise(F.col("text"))
     removed = F.when(whole, F.size(lines)).when(
-        F.col("__ranges").isNotNull(), F.aggregate("__ranges", F.lit(0), lambda s, r: s + r["to"] - r["idx"])).otherwise(F.lit(0))
+        F.col(ranges).isNotNull(), F.aggregate(ranges, F.lit(0), lambda s, r: s + r["to"] - r["idx"])).otherwise(F.lit(0))
     return joined.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in names],
                          F.coalesce(removed, F.lit(0)).alias("lines_removed"))
 
