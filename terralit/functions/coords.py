@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import re
 
 import pandas as pd
@@ -128,15 +129,21 @@ def longest(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Longest spans first, of equal ones the earlier, without overlaps; in order of place."""
     kept: list[tuple[int, int]] = []
     for a, b in sorted(set(spans), key=lambda s: (s[0] - s[1], s[0])):
-        if all(b <= x or a >= y for x, y in kept):
-            kept.append((a, b))
-    return sorted(kept)
+        k = bisect.bisect_left(kept, (a, b))
+        if (k == 0 or kept[k - 1][1] <= a) and (k == len(kept) or b <= kept[k][0]):
+            kept.insert(k, (a, b))
+    return kept
+
+
+def spans(text: str) -> list[tuple[int, int]]:
+    """The places of the coordinate strings of a text, longest match winning."""
+    return longest([(m.start(), m.start() + len(m.group().rstrip())) for p in _ANY for m in p.finditer(text)])
 
 
 @F.pandas_udf(SPANS)
 def find(texts: pd.Series) -> pd.Series:
     """The coordinate strings of a text with their places, longest match winning."""
-    return pd.Series([None if t is None else [{"text": t[a:b], "start": a, "end": b} for a, b in longest([(m.start(), m.start() + len(m.group().rstrip())) for p in _ANY for m in p.finditer(t)])] for t in texts])
+    return pd.Series([None if t is None else [{"text": t[a:b], "start": a, "end": b} for a, b in spans(t)] for t in texts])
 
 
 def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import bisect
+import re
+from collections.abc import Callable, Iterable, Iterator
+from typing import NamedTuple
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions import coords, text as tx
-from .library import shared
+from ..functions import coords, text as tx, vocabulary as v
+from .library import exact_mean, shared
 
 
 # --- entities ----------------------------------------------------------------------------
@@ -33,60 +38,190 @@ def table_coordinates(rows: DataFrame) -> DataFrame:
     return out.withColumn("name", F.when(name > 0, F.get(F.col("cells"), name - 1))).filter(coords.valid(F.col("lat"), F.col("lon"), True)).withColumn("confidence", F.lit(0.9))
 
 
+def table_entities(tables: DataFrame, column: str) -> DataFrame:
+    """tables (doc_id, table_idx, ...) with text tables -> their coordinates as entities, whose context names table
+    and row and lists the cells by header, 150 characters at most."""
+    rows = table_coordinates(table_rows(tables, column))
+    pairs = F.array_join(F.zip_with("header", "cells", lambda h, v: F.concat(h, F.lit("="), v)), ", ")
+    context = F.concat(F.lit("Table "), (F.col("table_idx") + 1).cast("string"), F.lit(", Row "), (F.col("row_idx") + 1).cast("string"), F.lit(": "), F.substring(pairs, 1, 150))
+    name = F.concat(F.col("lat").cast("string"), F.lit(", "), F.col("lon").cast("string"))
+    return rows.select("doc_id", F.col("table_idx").cast("int").alias("span_idx"), F.lit("table").alias("section"), F.lit(len(BUILT_IN)).alias("extractor"), F.col("row_idx").cast("int").alias("n"),
+                       name.alias("name"), F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit("COORDINATE").alias("entity_type"), F.col("confidence"), context.alias("context"), "lat", "lon")
+
+
 CONTEXT_WINDOW = 250
+Spans = list[tuple[int, int]]
 
 
-def context_of(start: Column, sentences: Column) -> Column:
-    """The sentence that holds a place in text, else CONTEXT_WINDOW characters on each side of it."""
-    begin = F.greatest(start - CONTEXT_WINDOW, F.lit(0))
-    around = F.regexp_replace(F.substr(F.col("text"), begin + 1, start + CONTEXT_WINDOW - begin), r"^\s+|\s+$", "")
-    return F.coalesce(F.get(F.filter(sentences, lambda s: (s["start"] <= start) & (start < s["end"])), F.lit(0))["text"], around)
+class Extractor(NamedTuple):
+    """What finds entities of a kind: spans tells the places of one text.  Any function will do, a tagger's too;
+    it is pickled to the workers, and is called once for each text."""
+
+    kind: str
+    confidence: float
+    spans: Callable[[str], Spans]
+
+
+class Names:
+    """The places of known names in a text, in any case, as whole words; the longest name at a place wins.
+
+    The names are kept in a dictionary by first word, some hundred bytes each, in every worker; a gazetteer of more
+    than MOST is to be joined instead (join_names)."""
+
+    MOST = 2_000_000
+    _word = re.compile(r"\w+")
+
+    def __init__(self, names: Iterable[str]):
+        self.by: dict[str, list[str]] = {}
+        for n in sorted({n.strip().lower() for n in names if n and n.strip()}, key=len, reverse=True):
+            if first := self._word.match(n):
+                self.by.setdefault(first.group(), []).append(n)
+        if sum(map(len, self.by.values())) > self.MOST:
+            raise ValueError(f"more than {self.MOST} names: use join_names")
+
+    def __call__(self, text: str) -> Spans:
+        low, out, end = text.lower(), [], 0
+        if len(low) != len(text):
+            low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+        for m in self._word.finditer(low):
+            if m.start() >= end and (known := self.by.get(m.group())):
+                for n in known:
+                    z = m.start() + len(n)
+                    if low.startswith(n, m.start()) and not (z < len(low) and (low[z].isalnum() or low[z] == "_") and (n[-1].isalnum() or n[-1] == "_")):
+                        out.append((m.start(), z))
+                        end = z
+                        break
+        return out
+
+
+#: A run of capitalised words that doesn't begin with one that is only the first of its sentence.
+_NAME = r"(?!(?:The|An?|In|On|At|We|Our|This|These|Those|It|Fig|Figs|Figure|Table|Tab|Eq|Appendix|Site|Sites|Samples?|Data|Study|Plots?|Area)\b)[A-Z][\w'-]+(?:\s+[A-Z][\w'-]+)*"
+_either = lambda words: "(?:" + "|".join(sorted(map(re.escape, words), key=len, reverse=True)) + ")"
+_verbs = lambda words: "(?:" + "|".join(v.forms(w) for w in sorted(words, key=len, reverse=True)) + ")"
+_THE = r"(?:(?:the|a|an)\s+)?"
+
+
+class Patterns:
+    """Spans of the first group, or of all, of patterns; longest first, without overlaps.  Texts without a word of the
+    stems are passed over."""
+
+    def __init__(self, patterns: list[str], stems: Iterable[str] = ()):
+        self.patterns = [re.compile(p) for p in patterns]
+        self.stems = frozenset(w[:4].lower() for w in stems)
+
+    def __call__(self, text: str) -> Spans:
+        if self.stems and not any(w[:4] in self.stems for w in text.lower().replace("(", " ").split()):
+            return []
+        found = [(m.start(g), m.start(g) + len(m.group(g).rstrip())) for p in self.patterns for g in (1 if p.groups else 0,) for m in p.finditer(text)]
+        return coords.longest(found)
+
+
+def _in(words: str) -> str:
+    return rf"(?i:\b{words})\s+"
+
+
+def study_sites_of_text() -> Patterns:
+    """Eight surface patterns for the grammatical ones of a parser; the place is the name that they lead to."""
+    few, prep = r"(?:[\w-]+\s+){0,3}?", rf"(?i:{_either(v.SITE_PREPS)})\s+{_THE}({_NAME})"
+    noun, verb = _in(_either(v.SITE_NOUNS)), _in(_verbs(v.STUDY_VERBS))
+    return Patterns([
+        verb + few + prep,
+        noun + few + prep,
+        rf"\b({_NAME})\s+(?i:{_either(v.SITE_NOUNS)})\b",
+        _in(_verbs(v.SET_VERBS)) + prep,
+        noun + few + verb + few + prep,
+        _in(_verbs(v.FOCUS_VERBS)) + rf"(?i:on)\s+{_THE}({_NAME})",
+        _in(_either(v.DATA_NOUNS)) + few + _in(_verbs(v.DATA_VERBS)) + few + prep,
+        _in(_either(v.DOMAIN_NOUNS)) + _in(_verbs(v.DOMAIN_VERBS)) + rf"{_THE}({_NAME})"],
+        (*v.SITE_NOUNS, *v.STUDY_VERBS, *v.FOCUS_VERBS, *v.DATA_VERBS, "took", "undertook"))
+
+
+def relations_of_text() -> Patterns:
+    """The relation patterns over text and those over the vocabulary: distance and direction, nearness, containment,
+    direction, placing verbs, and a name with a descriptor."""
+    word = lambda words: rf"(?i:\b{_either(words)}\b)"
+    return Patterns([*[f"(?i){re.sub(r'[(](?![?])', '(?:', p)}" for p in tx.RELATIONS],
+                     rf"\b\d+(?:\.\d+)?\s*{word(v.UNITS)}\s+{word(v.DIRECTIONS)}\s+{word(v.TOWARDS)}\s+{_THE}{_NAME}",
+                     rf"{word(v.NEARNESS)}(?:\s+to)?\s+{_THE}{_NAME}", rf"{word(v.CONTAINMENT)}\s+{_THE}{_NAME}", rf"{word(v.DIRECTIONS)}\s+of\s+{_THE}{_NAME}",
+                     rf"{word(v.PLACING_VERBS)}\s+{word(v.PLACING_PREPS)}\s+{_THE}{_NAME}", rf"\b{_NAME}\s+{word(v.DESCRIPTORS)}"],
+                    (*v.NEARNESS, *v.CONTAINMENT, *v.DIRECTIONS, *v.PLACING_VERBS, *v.DESCRIPTORS, *v.UNITS, "in"))
+
 
+def contextual_of_text() -> Patterns:
+    """The first name within 50 characters after an indicator, in its sentence."""
+    return Patterns([rf"(?i:\b{_either(v.INDICATORS)}\b)[^.!?]{{0,50}}?\b({_NAME})"], v.INDICATORS)
 
-def _entities(df: DataFrame, array: Column, kind: str, confidence: float, method: int) -> DataFrame:
-    """Rows of one extractor from array<struct<text,start,end>>."""
-    with_context = F.transform("__e", lambda e: F.struct(e["text"].alias("text"), e["start"].alias("start"), e["end"].alias("end"), context_of(e["start"], F.col("__s")).alias("context")))
-    return (df.select("doc_id", "span_idx", "section", "text", array.alias("__e"), tx.sentences("text").alias("__s"))
-            .select("doc_id", "span_idx", "section", F.posexplode(with_context).alias("n", "e"))
-            .select("doc_id", "span_idx", "section", F.lit(method).alias("extractor"), "n", F.trim("e.text").alias("name"), F.col("e.start").alias("start"), F.col("e.end").alias("end"),
-                    F.lit(kind).alias("entity_type"), F.lit(confidence).alias("confidence"), F.col("e.context").alias("context")))
 
+def _coordinates(text: str) -> Spans:
+    return coords.spans(text) if any(c.isdigit() for c in text) else []
 
-def spans_of(patterns: list[str], flags: int = 2) -> "Column":
-    """A function of a text column: the longest matches of the patterns, without overlaps."""
-    import re
-    compiled = [re.compile(p, flags) for p in patterns]
 
-    @F.pandas_udf(coords.SPANS)
+BUILT_IN = ("COORDINATE", "SPATIAL_RELATION", "GPE", "STUDY_SITE", "CONTEXTUAL_LOCATION", "MULTIWORD_LOCATION")
+
+
+def built_in(names: Iterable[str], custom: Iterable[str] = ()) -> list[Extractor]:
+    """The extractors in their order; custom adds phrases to the known names of several words.  There is no trained
+    tagger and no parser: names come from the gazetteer, the phrases and capitals."""
+    return [Extractor("COORDINATE", 1.0, _coordinates), Extractor("SPATIAL_RELATION", 0.85, relations_of_text()), Extractor("GPE", 0.95, Names(names)),
+            Extractor("STUDY_SITE", 0.9, study_sites_of_text()), Extractor("CONTEXTUAL_LOCATION", 0.75, contextual_of_text()),
+            Extractor("MULTIWORD_LOCATION", 0.85, Names((*v.MULTIWORD, *custom)))]
+
+
+def context_at(text: str, start: int, sentences: Spans) -> str:
+    """The sentence that holds a place in text, else CONTEXT_WINDOW characters on each side of it."""
+    k = bisect.bisect_right(sentences, (start, len(text) + 1)) - 1
+    if k >= 0 and sentences[k][0] <= start < sentences[k][1]:
+        return text[slice(*sentences[k])].strip()
+    return text[max(0, start - CONTEXT_WINDOW):start + CONTEXT_WINDOW].strip()
+
+
+HITS = "array<struct<extractor:int,n:int,text:string,start:int,end:int,context:string>>"
+
+
+def hits(extractors: list[Extractor]):
+    """A function of a text column: what all extractors find, with contexts, in one pass of a worker."""
+    @F.pandas_udf(HITS)
     def find(texts: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else [{"text": t[a:b], "start": a, "end": b} for a, b in coords.longest([m.span() for p in compiled for m in p.finditer(t)])] for t in texts])
+        out = []
+        for t in texts:
+            if t is None:
+                out.append(None)
+                continue
+            own = [(k, n, a, b) for k, e in enumerate(extractors) for n, (a, b) in enumerate(e.spans(t))]
+            sentences = tx.split_sentences(t) if own else []
+            out.append([{"extractor": k, "n": n, "text": t[a:b].strip(), "start": a, "end": b, "context": context_at(t, a, sentences)} for k, n, a, b in own])
+        return pd.Series(out)
     return find
 
 
-SITE_VERBS = "conducted|performed|carried out|established|located|situated|collected|sampled|measured|undertaken"
-SITE_NOUNS = "study|sites?|area|region|basin|catchment|station|plots?|transects?|samples?|data"
-HINTS = ("collected in", "conducted in", "located in", "situated in", "study area", "study site", "sampled in", "collected from", "field work in", "research in")
-_NAME = r"[A-Z][\w'-]+(?:\s+[A-Z][\w'-]+)*"
+def entities_of(sections: DataFrame, extractors: list[Extractor]) -> DataFrame:
+    """sections (doc_id, span_idx, section, text) -> the entities of these extractors, one row each.  Null and empty
+    texts have none."""
+    e = sections.select("doc_id", "span_idx", "section", F.explode(hits(extractors)("text")).alias("e")).select("doc_id", "span_idx", "section", "e.*")
+    kinds, sure = (F.array(*[F.lit(x[i]) for x in extractors]) for i in (0, 1))
+    return e.select("doc_id", "span_idx", "section", "extractor", "n", F.col("text").alias("name"), "start", "end", kinds[F.col("extractor")].alias("entity_type"), sure[F.col("extractor")].alias("confidence"), "context")
 
 
-def extract_entities(sections: DataFrame, names: list[str]) -> DataFrame:
-    """sections (doc_id, span_idx, section, text) -> entities of all extractors.
+def extract_entities(sections: DataFrame, names: list[str], custom: Iterable[str] = (), more: Iterable[Extractor] = ()) -> DataFrame:
+    """sections (doc_id, span_idx, section, text) -> entities of all extractors, and of more, which come after the built-in
+    ones.  Coordinates are parsed, and those out of range go."""
+    e = entities_of(sections, [*built_in(names, custom), *more])
+    none = F.lit(None).cast("double")
+    p = F.when(F.col("entity_type") == "COORDINATE", coords.parse(F.col("name")))
+    e = e.withColumn("p", p).withColumn("lat", F.coalesce(F.col("p.lat"), none)).withColumn("lon", F.coalesce(F.col("p.lon"), none)).drop("p")
+    return e.filter((F.col("entity_type") != "COORDINATE") | coords.valid(F.col("lat"), F.col("lon"))).withColumn("entity_idx", F.struct("extractor", "span_idx", "start", "n"))
 
-    Coordinates, spatial relations, gazetteer names, study sites by surface patterns (a verb or site noun,
-    a preposition, a capitalised name) and names after a hint.  There is no trained tagger and no parser:
-    names come from the gazetteer and capitals."""
-    import re
-    phrase = r"\b(?:" + "|".join(re.escape(n) for n in sorted(names, key=len, reverse=True)) + r")\b" if names else r"(?!x)x"
-    prep = r"\s+(?:\w+\s+){0,3}?(?:at|in|near|from|within|along|around|across|throughout|over|on)\s+(?:the\s+)?"
-    t = F.col("text")
-    c = _entities(sections, coords.find(t), "COORDINATE", 1.0, 0)
-    c = c.withColumn("p", coords.parse(F.col("name"))).withColumn("lat", F.col("p.lat")).withColumn("lon", F.col("p.lon")).drop("p").filter(coords.valid(F.col("lat"), F.col("lon")))
-    rest = [_entities(sections, spans_of(tx.RELATIONS)(t), "SPATIAL_RELATION", 0.85, 1), _entities(sections, spans_of([phrase])(t), "GPE", 0.95, 2),
-            _entities(sections, spans_of([rf"\b(?:{SITE_VERBS}|{SITE_NOUNS}){prep}{_NAME}"], 0)(t), "STUDY_SITE", 0.9, 3),
-            _entities(sections, spans_of([rf"(?:{'|'.join(HINTS)})\W+(?:the\s+)?{_NAME}"], 0)(t), "CONTEXTUAL_LOCATION", 0.75, 4)]
-    for r in rest:
-        c = c.unionByName(r.withColumn("lat", F.lit(None).cast("double")).withColumn("lon", F.lit(None).cast("double")))
-    return c.withColumn("entity_idx", F.struct("extractor", "span_idx", "start", "n"))
+
+def join_names(sections: DataFrame, gazetteer: DataFrame, words: int = 5) -> DataFrame:
+    """sections (doc_id, span_idx, text), gazetteer (name, ...) of any size -> (doc_id, span_idx, name, n): the names of
+    up to `words` words in each text and how often each occurs, by a join on runs of words, which are counted before."""
+    w = F.filter(F.split(F.lower("text"), r"(?U)\W+"), lambda x: x != "")
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(words)), lambda k: F.transform(
+        F.filter(F.sequence(F.lit(1), F.greatest(F.size("w"), F.lit(1))), lambda i: i + k - 1 <= F.size("w")), lambda i: F.array_join(F.slice("w", i, k), " "))))
+    r = (sections.select("doc_id", "span_idx", w.alias("w")).filter("size(w) > 0").select("doc_id", "span_idx", F.explode(runs).alias("run"))
+         .groupBy("doc_id", "span_idx", "run").agg(F.count("*").alias("n")))
+    g = gazetteer.select("name", F.array_join(F.filter(F.split(F.lower("name"), r"(?U)\W+"), lambda x: x != ""), " ").alias("run")).distinct()
+    return r.join(g, "run").select("doc_id", "span_idx", "name", "n")
 
 
 # --- geocoding ---------------------------------------------------------------------------
@@ -111,47 +246,78 @@ def geocode(entities: DataFrame, gazetteer: DataFrame, bias: DataFrame | None =
 
 # --- clustering --------------------------------------------------------------------------
 
-def _distances(lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
-    p, q = np.radians(lat), np.radians(lon)
-    a = np.sin((p[:, None] - p) / 2) ** 2 + np.cos(p[:, None]) * np.cos(p) * np.sin((q[:, None] - q) / 2) ** 2
-    return 2 * 6371.0088 * np.arcsin(np.sqrt(np.minimum(a, 1)))
+BLOCK = 512
 
 
-def adaptive_eps(d: np.ndarray, default: float = 50.0) -> float:
-    """1.5 times the median distance to the third neighbour, the point itself counted, within 10 and 200 km;
-    the default for fewer than three points."""
-    n = len(d)
-    return default if n < 3 else float(np.clip(1.5 * np.median(np.sort(d, 1)[:, min(3, n - 1) - 1]), 10, 200))
+def _distances(lat: np.ndarray, lon: np.ndarray, to_lat: np.ndarray, to_lon: np.ndarray) -> np.ndarray:
+    """Great-circle kilometres from each of some points, in radians, to each of others."""
+    a = np.sin((lat[:, None] - to_lat) / 2) ** 2 + np.cos(lat[:, None]) * np.cos(to_lat) * np.sin((lon[:, None] - to_lon) / 2) ** 2
+    return 2 * 6371.0088 * np.arcsin(np.sqrt(np.minimum(a, 1)))
 
 
-def component_labels(near: np.ndarray) -> np.ndarray:
-    """Labels of the connected components of a neighbour matrix, numbered by first point."""
-    label = np.full(len(near), -1)
+def adaptive_eps(lat: np.ndarray, lon: np.ndarray, default: float = 50.0) -> float:
+    """1.5 times the median distance to the third neighbour, the point itself counted, within 10 and 200 km;
+    the default for fewer than three points.  Distances are taken a block of rows at a time."""
+    n = len(lat)
+    if n < 3:
+        return default
+    third = [np.partition(_distances(lat[i:i + BLOCK], lon[i:i + BLOCK], lat, lon), min(3, n - 1) - 1, 1)[:, min(3, n - 1) - 1] for i in range(0, n, BLOCK)]
+    return float(np.clip(1.5 * np.median(np.concatenate(third)), 10, 200))
+
+
+def component_labels(lat: np.ndarray, lon: np.ndarray, eps: float) -> np.ndarray:
+    """Labels of the components of the graph of distances up to eps, numbered by first point.  Each point's distances
+    to the points that have no label yet are taken once, a block at a time, so no matrix is kept."""
+    label = np.full(len(lat), -1, np.int32)
+    free = np.arange(len(lat))
     now = 0
-    for i in range(len(near)):
-        if label[i] < 0:
-            todo = [i]
-            label[i] = now
-            while todo:
-                for j in np.flatnonzero(near[todo.pop()] & (label < 0)):
-                    label[j] = now
-                    todo.append(j)
-            now += 1
+    while len(free):
+        label[free[0]] = now
+        todo, free = free[:1], free[1:]
+        while len(todo) and len(free):
+            some, todo = todo[:BLOCK], todo[BLOCK:]
+            near = (_distances(lat[some], lon[some], lat[free], lon[free]) <= eps).any(0)
+            label[free[near]] = now
+            todo, free = np.concatenate((todo, free[near])), free[~near]
+        now += 1
     return label
 
 
 def cluster(points: DataFrame, group: str, order: str, eps: float | None = None) -> DataFrame:
     """points (group, order, lat, lon) -> group, order, eps, cluster: haversine density clusters in which
-    every point is a core point, so the components of the graph of distances up to eps."""
-    kinds = {f.name: f.dataType.simpleString() for f in points.schema.fields}
+    every point is a core point, so the components of the graph of distances up to eps.
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        d = _distances(pdf["lat"].to_numpy(), pdf["lon"].to_numpy())
-        e = adaptive_eps(d) if eps is None else eps
-        return pd.DataFrame({group: pdf[group], order: pdf[order], "eps": e, "cluster": component_labels(d <= e)})
+    Groups are sorted together in their partitions and many are done a call, as most are small; memory is that of one
+    group's rows.  Coordinates aren't null."""
+    kinds = {f.name: f.dataType.simpleString() for f in points.schema.fields}
 
-    return points.select(group, order, "lat", "lon").groupBy(group).applyInPandas(one, f"{group} {kinds[group]}, {order} {kinds[order]}, eps double, cluster int")
+    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for pdf in batches:
+            held = pdf if held is None or not len(held) else pd.concat((held, pdf), ignore_index=True)
+            if not len(held):
+                continue
+            g = held[group].to_numpy()
+            whole = int(np.flatnonzero(g != g[-1])[-1]) + 1 if (g != g[-1]).any() else 0  # the last group may go on
+            if whole:
+                yield labelled(held.iloc[:whole])
+                held = held.iloc[whole:].reset_index(drop=True)
+        if held is not None and len(held):
+            yield labelled(held)
+
+    def labelled(pdf: pd.DataFrame) -> pd.DataFrame:
+        g, lat, lon = pdf[group].to_numpy(), np.radians(pdf["lat"].to_numpy(float)), np.radians(pdf["lon"].to_numpy(float))
+        edge = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1], [True])))
+        e, c = np.full(len(g), 50.0 if eps is None else eps), np.zeros(len(g), np.int32)
+        for a, z in zip(edge[:-1], edge[1:]):
+            if z - a > 1:
+                if eps is None and z - a > 2:
+                    e[a:z] = adaptive_eps(lat[a:z], lon[a:z])
+                c[a:z] = component_labels(lat[a:z], lon[a:z], e[a])
+        return pd.DataFrame({group: pdf[group], order: pdf[order], "eps": e, "cluster": c})
+
+    rows = points.select(group, order, "lat", "lon").repartition(group).sortWithinPartitions(group, order)
+    return rows.mapInPandas(of, f"{group} {kinds[group]}, {order} {kinds[order]}, eps double, cluster int")
 
 
 def keep_largest(entities: DataFrame, group: str, order: str) -> DataFrame:
@@ -219,25 +385,59 @@ def site_name() -> Column:
     return F.when(F.col("entity_type") == "COORDINATE", F.when(m != "", m).otherwise(F.concat(F.lit("Site at "), F.col("name")))).otherwise(F.substring("name", 1, 100))
 
 
-def study_sites(entities: DataFrame, group: str, order: str, top: int = 10, least: float = 0.5) -> DataFrame:
-    """Located entities as sites: coordinates first, then by rank; the first `top` are saved."""
+def validation_score(confidence: Column, info: Column) -> Column:
+    """The confidence, 0.1 higher up to 1 if any count of the clusters is over 1, to 3 digits."""
+    more = F.coalesce(F.array_max(F.map_values(info)) > 1, F.lit(False))
+    return F.round(F.when(more, F.least(confidence + 0.1, F.lit(1.0))).otherwise(confidence), 3)
+
+
+def study_sites(entities: DataFrame, group: str, order: str, top: int = 10, least: float = 0.5, info: DataFrame | None = None) -> DataFrame:
+    """Located entities as sites: coordinates first, then by rank; the first `top` are saved.  With info (group, info),
+    as of cluster_info, also their validation."""
     e = confident(entities.filter("lat is not null and lon is not null"), least)
     w = W.partitionBy(group).orderBy((F.col("entity_type") == "COORDINATE").desc(), "rank")
     e = e.withColumn("site_rank", F.row_number().over(w))
+    more = [] if info is None else [validation_score(F.col("confidence"), F.col("info")).alias("validation")]
+    e = e if info is None else e.join(info, group, "left")
     return e.select(group, site_name().alias("site_name"), "lat", "lon", F.substring("context", 1, 500).alias("context"), "confidence", method_of().alias("method"),
-                    source_of().alias("source"), section_of().alias("section"), F.col("site_rank"), (F.col("site_rank") <= top).alias("is_saved"))
+                    source_of().alias("source"), section_of().alias("section"), F.col("site_rank"), (F.col("site_rank") <= top).alias("is_saved"), *more)
+
+
+def title_bias(titles: DataFrame, gazetteer: DataFrame, names: list[str]) -> DataFrame:
+    """titles (doc_id, title) -> (doc_id, bias_lat, bias_lon): where the first place named in the title lies."""
+    e = entities_of(titles.select("doc_id", F.lit(0).alias("span_idx"), F.lit("title").alias("section"), F.col("title").alias("text")), [Extractor("GPE", 0.95, Names(names))])
+    first = e.groupBy("doc_id").agg(F.min_by("name", "start").alias("name")).withColumn("entity_type", F.lit("GPE")).withColumn("confidence", F.lit(0.95))
+    located = geocode(first.withColumn("lat", F.lit(None).cast("double")).withColumn("lon", F.lit(None).cast("double")), gazetteer)
+    return located.filter("lat is not null").select("doc_id", F.col("lat").alias("bias_lat"), F.col("lon").alias("bias_lon"))
+
+
+def text_quality(sections: DataFrame) -> DataFrame:
+    """sections (doc_id, span_idx, section, text) -> (doc_id, sections, quality): how many of the relevant sections have
+    text, and the mean of the quality of each section name's last one."""
+    q = sections.select("doc_id", "span_idx", "section", tx.quality(F.col("text"))["overall_score"].alias("o"))
+    last = q.groupBy("doc_id", "section").agg(F.max_by("o", "span_idx").alias("o"), F.count("*").alias("n"))
+    return last.groupBy("doc_id").agg(F.sum("n").alias("sections"), exact_mean("o", 5).alias("quality"))
+
 
+def extract_pipeline(sections: DataFrame, gazetteer: DataFrame, names: list[str], tables: DataFrame | None = None, titles: DataFrame | None = None) -> DataFrame:
+    """The flagship: sections (doc_id, span_idx, heading, text), tables (doc_id, table_idx, tbl) and titles (doc_id,
+    title) -> ranked study sites of all documents, in one plan partitioned by document.
 
-def extract_pipeline(sections: DataFrame, gazetteer: DataFrame, names: list[str]) -> DataFrame:
-    """The flagship: sections (doc_id, span_idx, heading, text) -> ranked study sites of all documents, in
-    one plan partitioned by document."""
-    s = sections.withColumn("section", tx.section_class(F.col("heading"), F.col("text"))).filter(F.col("section").isin(*tx.RELEVANT))
+    Relevant sections with text are kept, symbols of texts with digits cleaned, entities found in one pass, table
+    coordinates added, places geocoded with the title's place as bias, the largest cluster kept, entities
+    de-duplicated, sifted by confidence and ranked; sites have method, source, name and validation."""
+    s = sections.withColumn("section", tx.section_class(F.col("heading"), F.col("text"))).filter(F.col("section").isin(*tx.RELEVANT) & (F.trim("text") != ""))
+    s = s.withColumn("text", F.when(F.col("text").rlike("[0-9]"), tx.clean_symbols(F.col("text"))).otherwise(F.col("text")))
     shared(sections.sparkSession)
-    e = extract_entities(s, names).checkpoint()  # read several times below: as entities, as names, as points
-    e = geocode(e, gazetteer)
-    e = e.withColumn("order_id", F.row_number().over(W.partitionBy("doc_id").orderBy("entity_idx"))).drop("entity_idx")
+    e = extract_entities(s, names)
+    if tables is not None:
+        e = e.unionByName(table_entities(tables, "tbl").withColumn("entity_idx", F.struct("extractor", "span_idx", "start", "n")))
+    e = e.checkpoint()  # read several times below: as entities, as names, as points
+    e = geocode(e, gazetteer, None if titles is None else title_bias(titles, gazetteer, names))
+    e = e.withColumn("order_id", F.row_number().over(W.partitionBy("doc_id").orderBy("entity_idx"))).drop("entity_idx").checkpoint()
+    info = cluster_info(e, "doc_id", "order_id")
     e = rank(confident(dedup(keep_largest(e, "doc_id", "order_id"), "doc_id", "order_id")), "doc_id", "order_id")
-    return study_sites(e, "doc_id", "order_id")
+    return study_sites(e, "doc_id", "order_id", info=info)
 
 
 def deduplicated_locations(sites: DataFrame) -> DataFrame:

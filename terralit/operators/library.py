@@ -44,23 +44,80 @@ def replace_group(base: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return without(base, new, key).unionByName(new)
 
 
+METHODS = ("regex", "geocoded", "ner", "table_parsing", "manual")
+
+
+def by_method() -> list[Column]:
+    return [F.count_if(F.col("method") == m).alias(f"n_{m}") for m in METHODS]
+
+
 def site_stats(sites: DataFrame, by: str) -> DataFrame:
     """Totals, manual and automatic counts, mean confidence, and counts by method in one aggregate."""
-    methods = {m: F.count_if(F.col("method") == m).alias(f"n_{m}") for m in ("regex", "geocoded", "ner")}
     return sites.groupBy(by).agg(F.count("*").alias("total"), F.count_if("is_manual").alias("manual"), (F.count("*") - F.count_if("is_manual")).alias("automatic"),
-                                 F.round(F.coalesce(F.avg("confidence"), F.lit(0.0)), 6).alias("avg_confidence"), *methods.values())
+                                 F.coalesce(exact_mean("confidence", 3), F.lit(0.0)).alias("avg_confidence"), *by_method())
+
+
+def millionths(column: str) -> Column:
+    """The sum of a column of at most 6 decimals in whole millionths, in which the order of rows can't tell."""
+    return F.sum(F.round(F.col(column) * 1_000_000).cast("bigint"))
+
+
+def half_up(s: Column, n: Column, digits: int) -> Column:
+    """s millionths over n, rounded half up to `digits`; null without rows."""
+    unit = 10 ** (6 - digits)
+    top, bottom = 2 * s + unit * n, 2 * unit * n
+    return F.when(n > 0, ((top - F.pmod(top, bottom)) / bottom).cast("bigint") / 10 ** digits)
+
+
+def exact_mean(column: str, digits: int) -> Column:
+    return half_up(millionths(column), F.count(column), digits)
 
 
 def user_summary(items: DataFrame, sites: DataFrame) -> DataFrame:
-    """Per owner: items, items with sites, sites, coverage and means.  Sites are reduced to items before the
-    join, so what is shuffled by owner is one row per item."""
-    s = sites.groupBy("item_id").agg(F.count("*").alias("n"), F.sum("confidence").alias("c"), F.sum("validation").alias("v"))
+    """Per owner: items, items with sites, sites, coverage, means to 3 digits and counts by method.  Sites are reduced
+    to items before the join, so what is shuffled by owner is one row per item."""
+    s = sites.groupBy("item_id").agg(F.count("*").alias("n"), millionths("confidence").alias("c"), millionths("validation").alias("v"), *by_method())
     j = items.select("id", "owner_id").join(s, F.col("id") == F.col("item_id"), "left")
-    g = j.groupBy("owner_id").agg(F.count("*").alias("total_items"), F.count("n").alias("items_with_sites"), F.coalesce(F.sum("n"), F.lit(0)).alias("total_sites"),
-                                  F.sum("c").alias("c"), F.sum("v").alias("v"))
-    mean = lambda x: F.round(F.coalesce(F.try_divide(F.col(x), F.col("total_sites")), F.lit(0.0)), 6)
-    return g.select("owner_id", "total_items", "items_with_sites", "total_sites", F.round(100.0 * F.col("items_with_sites").cast("double") / F.col("total_items"), 1).alias("coverage"),
-                    mean("c").alias("avg_confidence"), mean("v").alias("avg_validation"))
+    n = F.coalesce(F.sum("n"), F.lit(0))
+    mean = lambda x: F.coalesce(half_up(F.sum(x), n, 3), F.lit(0.0))
+    return j.groupBy("owner_id").agg(F.count("*").alias("total_items"), F.count("n").alias("items_with_sites"), n.alias("total_sites"), F.round(100.0 * F.count("n").cast("double") / F.count("*"), 1).alias("coverage"),
+                                     mean("c").alias("avg_confidence"), mean("v").alias("avg_validation"), *[F.coalesce(F.sum(f"n_{m}"), F.lit(0)).alias(f"n_{m}") for m in METHODS])
+
+
+def papers(items: DataFrame, creators: DataFrame, search: str | None = None, author: str | None = None, journal: str | None = None) -> DataFrame:
+    """Items whose title, abstract or any author has the words of search, of which an author has those of author, and of
+    that journal.  Creators are sifted before they are joined."""
+    def by(words: str) -> DataFrame:
+        return creators.filter(F.lower("last_name").contains(words.lower())).select(F.col("item_id").alias("id")).distinct()
+
+    if search is not None:
+        hit = F.lower("title").contains(search.lower()) | F.coalesce(F.lower("abstract_note").contains(search.lower()), F.lit(False))
+        items = items.join(by(search).withColumn("__a", F.lit(True)), "id", "left").filter(hit | F.col("__a").isNotNull()).drop("__a")
+    if author is not None:
+        items = items.join(by(author), "id", "left_semi")
+    return items if journal is None else items.filter(F.col("journal") == journal)
+
+
+def cancelled(tasks: DataFrame, ids: DataFrame) -> DataFrame:
+    """tasks (task_id, state) with those of ids (task_id) that haven't ended marked REVOKED; ended ones stay."""
+    open_ = F.col("state").isin("PENDING", "STARTED", "RETRY", "PROGRESS")
+    hit = tasks.join(ids.select("task_id").distinct().withColumn("__c", F.lit(True)), "task_id", "left")
+    return hit.withColumn("state", F.when(open_ & F.col("__c").isNotNull(), "REVOKED").otherwise(F.col("state"))).drop("__c")
+
+
+def batch_status(tasks: DataFrame) -> DataFrame:
+    """Counts of a batch's latest states."""
+    of = lambda *s: F.count_if(F.col("state").isin(*s))
+    return tasks.agg(F.count("*").alias("total"), of("PENDING").alias("pending"), of("STARTED").alias("started"), of("RETRY").alias("retrying"), of("REVOKED").alias("revoked"),
+                     of("SUCCESS", "FAILURE", "REVOKED").alias("ready"), of("SUCCESS").alias("successful"), of("FAILURE").alias("failed"))
+
+
+def manual_sites(new: DataFrame) -> DataFrame:
+    """Rows (id, item_id, name, latitude, longitude, ...) as sites made by hand: section other, confidence and validation
+    1 where they aren't given."""
+    given = lambda c: F.coalesce(F.col(c), F.lit(1.0)) if c in new.columns else F.lit(1.0)
+    return new.select("id", "item_id", "name", "latitude", "longitude", given("confidence").alias("confidence"), given("validation").alias("validation"),
+                      F.lit("manual").alias("method"), F.lit("manual").alias("source"), F.lit("other").alias("section"), F.lit(True).alias("is_manual"))
 
 
 def latest(tasks: DataFrame) -> DataFrame:
@@ -120,7 +177,7 @@ def tag_clusters(links: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def graph_components(node_ids: DataFrame, links: DataFrame) -> DataFrame:
-    """(node, root) by label propagation over a bipartite graph; labels are written out each round, which
+    """(node, root) by least labels and pointer jumping over a graph; labels are written out each round, which
     cuts the lineage, and rounds end when no label changes."""
     shared(node_ids.sparkSession)
     both = links.select(F.col("source").alias("a"), F.col("target").alias("b")).unionAll(links.select(F.col("target").alias("a"), F.col("source").alias("b"))).distinct()
@@ -128,6 +185,8 @@ def graph_components(node_ids: DataFrame, links: DataFrame) -> DataFrame:
     while True:
         near = both.join(now, both["b"] == now["node"]).groupBy("a").agg(F.min("root").alias("r"))
         step = now.join(near, now["node"] == near["a"], "left").select("node", F.least("root", "r").alias("root"), (F.coalesce(F.col("r"), F.col("root")) < F.col("root")).alias("moved"))
+        up = step.select(F.col("node").alias("root"), F.col("root").alias("up"))
+        step = step.join(up, "root").select("node", F.least("root", "up").alias("root"), "moved")  # to the root's root: rounds are few on long chains
         step = step.checkpoint()
         now = step.select("node", "root")
         if step.filter("moved").isEmpty():

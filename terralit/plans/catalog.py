@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
+import uuid
+
 from pyspark.sql import Window as W, functions as F
 
 from ..functions import coords, text as tx
 from ..operators import extraction as ex, library as lib
+from ..sources import tables as src
 from ..sources.tables import PRELUDE, Domain
 
 QUERIES: dict = {}
@@ -67,26 +71,8 @@ def sink_entities_df(d):
     return d.site.select(c("id").alias("text"), c("entity_type").alias("type"), "section", "context", "confidence", "latitude", "longitude")
 
 
-@q("SELECT item_id % 16 AS bucket, count(*) AS n, round(sum(confidence), 6) AS total FROM site GROUP BY 1")
-def sink_db(d):
-    return d.site.groupBy((c("item_id") % 16).alias("bucket")).agg(F.count("*").alias("n"), F.round(F.sum("confidence"), 6).alias("total"))
-
-
 # --- projections and rules ---------------------------------------------------------------
 
-@q("""SELECT i.id, i.title, s.ids AS site_ids, t.tags FROM item i LEFT JOIN (SELECT item_id, list(id ORDER BY id) AS ids FROM site GROUP BY 1) s ON s.item_id = i.id
-LEFT JOIN (SELECT item_id, list(tag_id ORDER BY tag_id) AS tags FROM link GROUP BY 1) t ON t.item_id = i.id""")
-def proj_item_public(d):
-    s = d.site.groupBy(c("item_id").alias("id")).agg(F.sort_array(F.collect_list("id")).alias("site_ids"))
-    t = d.link.groupBy(c("item_id").alias("id")).agg(F.sort_array(F.collect_list("tag_id")).alias("tags"))
-    return d.item.select("id", "title").join(s, "id", "left").join(t, "id", "left").select("id", "title", "site_ids", "tags")
-
-
-@q("SELECT t.id, t.name, l.items FROM tag t LEFT JOIN (SELECT tag_id, list(item_id ORDER BY item_id) AS items FROM link GROUP BY 1) l ON l.tag_id = t.id")
-def proj_tag_public(d):
-    l = d.link.groupBy(c("tag_id").alias("id")).agg(F.sort_array(F.collect_list("item_id")).alias("items"))
-    return d.tag.join(l, "id", "left").select("id", "name", "items")
-
 
 @q("SELECT item_id, 'author' AS creator_type, last_name FROM creator WHERE item_id % 5 <> 0")
 def proj_import_item(d):
@@ -154,11 +140,6 @@ def proj_importance_color(d):
     return d.site.select("id", F.concat(F.lit("hsl(210, 70%, "), F.round(70 - 30 * c("confidence")).cast("int").cast("string"), F.lit("%)")).alias("color"))
 
 
-@q("SELECT id, CASE method WHEN 'regex' THEN '#1976d2' WHEN 'ner' THEN '#43a047' ELSE '#9e9e9e' END AS color, round(1 + 3 * confidence, 6) AS width FROM site")
-def proj_node_edge_style(d):
-    return d.site.select("id", F.when(c("method") == "regex", "#1976d2").when(c("method") == "ner", "#43a047").otherwise("#9e9e9e").alias("color"), F.round(1 + 3 * c("confidence"), 6).alias("width"))
-
-
 @q("SELECT id, CASE WHEN confidence >= 0.9 THEN 'success' WHEN confidence >= 0.75 THEN 'primary' WHEN confidence >= 0.5 THEN 'warning' ELSE 'error' END AS bucket FROM site")
 def proj_conf_bucket(d):
     return d.site.select("id", F.when(c("confidence") >= 0.9, "success").when(c("confidence") >= 0.75, "primary").when(c("confidence") >= 0.5, "warning").otherwise("error").alias("bucket"))
@@ -201,7 +182,6 @@ _f("flt_owner_superuser", "SELECT id, title FROM item", lambda d: lib.visible(d.
 _SEARCH = f"SELECT id, title FROM item WHERE title ILIKE '%{TITLE}%' OR id IN (SELECT item_id FROM link JOIN tag ON tag.id = tag_id WHERE name ILIKE '%{TAG}%')"
 _f("flt_search", _SEARCH, lambda d: lib.search(d.item, d.link, d.tag, TITLE, TAG).select("id", "title"))
 _f("flt_search_count", f"SELECT count(*) AS count FROM ({_SEARCH} ORDER BY id LIMIT 10)", lambda d: lib.page(lib.search(d.item, d.link, d.tag, TITLE, TAG), ["id"], 0, 10).agg(F.count("*").alias("count")))
-_f("flt_item_by_id", f"SELECT id, title FROM item WHERE id = 11 AND owner_id = (SELECT owner_id FROM item WHERE id = 11)", lambda d: d.item.filter("id = 11").select("id", "title"))
 _f("flt_attachment_null", "SELECT id FROM item WHERE attachment IS NULL", lambda d: d.item.filter(c("attachment").isNull()).select("id"))
 _f("flt_has_sites", "SELECT id FROM item WHERE id IN (SELECT item_id FROM site)", lambda d: d.item.select("id").join(d.site.select(c("item_id").alias("id")), "id", "left_semi"))
 _f("flt_no_sites", "SELECT id FROM item WHERE id NOT IN (SELECT item_id FROM site)", lambda d: d.item.select("id").join(d.site.select(c("item_id").alias("id")), "id", "left_anti"))
@@ -211,15 +191,11 @@ _f("flt_papers_text", "SELECT id FROM item WHERE contains(lower(title), 'low 3')
 _f("flt_sites", "SELECT s.id FROM site s JOIN item i ON i.id = s.item_id WHERE NOT is_manual AND (contains(lower(name), '12') OR contains(lower(i.title), 'high') OR contains(lower(context), 'table'))",
    lambda d: d.site.filter(~c("is_manual")).join(d.item.select(c("id").alias("item_id"), "title"), "item_id")
    .filter(F.lower("name").contains("12") | F.lower("title").contains("high") | F.lower("context").contains("table")).select("id"))
-_f("flt_papers_store", "SELECT id FROM item WHERE contains(lower(title), 'medium') AND journal = 'J. Land. 3' AND id IN (SELECT item_id FROM creator WHERE contains(lower(last_name), '1'))",
-   lambda d: d.item.filter(F.lower("title").contains("medium") & (c("journal") == "J. Land. 3")).join(
-       d.creator.groupBy(c("item_id").alias("id")).agg(F.collect_set("last_name").alias("authors")), "id").filter(F.exists("authors", lambda a: F.lower(a).contains("1"))).select("id"))
 _f("flt_extraction_results", "SELECT id FROM site WHERE is_manual AND section = 'methods' AND confidence >= 0.7 AND (context IS NULL OR contains(lower(context), 'site 1'))",
    lambda d: d.site.filter(c("is_manual") & (c("section") == "methods") & (c("confidence") >= 0.7) & (c("context").isNull() | F.lower("context").contains("site 1"))).select("id"))
 _f("flt_graph", "SELECT 'item_' || item_id AS source, 'tag_' || tag_id AS target FROM link JOIN item ON item.id = item_id JOIN tag ON tag.id = tag_id WHERE contains(lower(title), 'high') AND contains(lower(name), '_2')",
    lambda d: lib.edges(d.link, d.item.filter(F.lower("title").contains("high")), d.tag.filter(F.lower("name").contains("_2"))))
 _f("flt_tag_search", "SELECT id, name FROM tag WHERE contains(lower(name), 'nation_2')", lambda d: d.tag.filter(F.lower("name").contains("nation_2")).select("id", "name"))
-_f("flt_confidence", "SELECT id FROM site WHERE entity_type = 'COORDINATE' OR confidence >= 0.5", lambda d: ex.confident(d.site).select("id"))
 _f("flt_high_conf", "SELECT id FROM site WHERE confidence >= 0.8 AND latitude IS NOT NULL", lambda d: d.site.filter((c("confidence") >= 0.8) & c("latitude").isNotNull()).select("id"))
 _f("flt_url_http", "SELECT page_id, url, starts_with(url, 'http') AS ok FROM pages", lambda d: d.raw("pages").select("page_id", "url", c("url").startswith("http").alias("ok")))
 _f("flt_processed", "SELECT id, attachment IS NOT NULL AS processed, id IN (SELECT item_id FROM site) AS with_locations FROM item",
@@ -262,8 +238,6 @@ _f("anti_new_items", "SELECT id, key FROM item WHERE key NOT IN (SELECT key FROM
 _f("anti_items_with_sites", "SELECT id FROM item WHERE attachment IS NOT NULL AND id NOT IN (SELECT item_id FROM site)", lambda d: d.item.filter("attachment is not null").select("id").join(d.site.select(c("item_id").alias("id")), "id", "left_anti"))
 _f("anti_available_nodes", "SELECT id FROM tag WHERE id NOT IN (SELECT tag_id FROM link WHERE item_id = 11)", lambda d: d.tag.select("id").join(d.link.filter("item_id = 11").select(c("tag_id").alias("id")), "id", "left_anti"))
 _f("join_edge_filter", "SELECT 'item_' || item_id AS source, 'tag_' || tag_id AS target FROM link WHERE tag_id IN (SELECT id FROM tag WHERE id % 2 = 1)", lambda d: lib.edges(d.link, d.item, d.tag.filter("id % 2 = 1")))
-_f("join_location_exact", "SELECT a.id, b.id AS other FROM site a JOIN site b ON a.latitude = b.latitude AND a.longitude = b.longitude AND a.id < b.id",
-   lambda d: d.site.select("id", "latitude", "longitude").join(d.site.select(c("id").alias("other"), "latitude", "longitude"), ["latitude", "longitude"]).filter("id < other").select("id", "other"))
 _f("join_sites_enriched", "SELECT s.id, coalesce(i.title, 'Unknown') AS item_title FROM site s LEFT JOIN (SELECT * FROM item WHERE id % 7 <> 0) i ON i.id = s.item_id",
    lambda d: d.site.select("id", "item_id").join(d.item.filter("id % 7 <> 0").select(c("id").alias("item_id"), "title"), "item_id", "left").select("id", F.coalesce("title", F.lit("Unknown")).alias("item_title")))
 
@@ -299,27 +273,14 @@ def geo_bias(d):
     return e.filter(c("entity_type").isin("LOC", "GPE") & c("lat").isNotNull()).select("doc_id", "name", "lat", "lon").distinct()
 
 
-_f("geo_cache", _NAMED + " SELECT lower(name) AS name, count(*) AS asked FROM e GROUP BY 1", lambda d: _named(d).groupBy(F.lower("name").alias("name")).agg(F.count("*").alias("asked")))
-_f("geo_title_bias", _NAMED + " SELECT doc_id, min(id) AS first FROM e WHERE entity_type IN ('LOC', 'GPE') GROUP BY 1", lambda d: _named(d).filter(c("entity_type").isin("LOC", "GPE")).groupBy("doc_id").agg(F.min("id").alias("first")))
-
 # --- aggregates --------------------------------------------------------------------------
 
 _f("agg_item_count", "SELECT (SELECT count(*) FROM item) AS items, (SELECT count(*) FROM tag) AS tags, (SELECT count(*) FROM usr) AS users, (SELECT count(*) FROM creator) AS creators",
    lambda d: d.item.agg(F.count("*").alias("items")).crossJoin(d.tag.agg(F.count("*").alias("tags"))).crossJoin(d.user.agg(F.count("*").alias("users"))).crossJoin(d.creator.agg(F.count("*").alias("creators"))))
-_f("agg_user_summary", """SELECT owner_id, count(*) AS total_items, count(n) AS items_with_sites, CAST(coalesce(sum(n), 0) AS BIGINT) AS total_sites, round(100.0::DOUBLE * count(n) / count(*), 1) AS coverage,
-round(coalesce(sum(cc) / sum(n), 0), 6) AS avg_confidence, round(coalesce(sum(v) / sum(n), 0), 6) AS avg_validation
-FROM item LEFT JOIN (SELECT item_id, count(*) AS n, sum(confidence) AS cc, sum(validation) AS v FROM site GROUP BY 1) s ON s.item_id = item.id GROUP BY owner_id""", lambda d: lib.user_summary(d.item, d.site))
 _f("agg_by_method", "SELECT method, count(*) AS n FROM site GROUP BY 1", lambda d: d.site.groupBy("method").agg(F.count("*").alias("n")))
-_STATS = "count(*) AS total, count(*) FILTER (is_manual) AS manual, count(*) FILTER (NOT is_manual) AS automatic, round(avg(confidence), 6) AS avg_confidence, " + ", ".join(f"count(*) FILTER (method = '{m}') AS n_{m}" for m in ("regex", "geocoded", "ner"))
-_f("agg_item_stats", f"SELECT item_id, {_STATS} FROM site GROUP BY 1", lambda d: lib.site_stats(d.site, "item_id"))
 _f("agg_manual_auto", "SELECT count(*) FILTER (is_manual) AS manual, count(*) FILTER (NOT is_manual) AS automatic FROM site", lambda d: d.site.agg(F.count_if("is_manual").alias("manual"), F.count_if(~c("is_manual")).alias("automatic")))
-_f("agg_batch_task_status", "SELECT count(*) AS total, count(*) FILTER (state = 'PENDING') AS pending, count(*) FILTER (state IN ('SUCCESS', 'FAILURE')) AS ready, count(*) FILTER (state = 'SUCCESS') AS successful, count(*) FILTER (state = 'FAILURE') AS failed FROM (SELECT arg_max(state, (ts, event_id)) AS state FROM task GROUP BY task_id)",
-   lambda d: lib.latest(d.task).agg(F.count("*").alias("total"), F.count_if(c("state") == "PENDING").alias("pending"), F.count_if(c("state").isin("SUCCESS", "FAILURE")).alias("ready"), F.count_if(c("state") == "SUCCESS").alias("successful"), F.count_if(c("state") == "FAILURE").alias("failed")))
 _f("task_latest_state", "SELECT task_id, arg_max(state, (ts, event_id)) AS state FROM task GROUP BY task_id", lambda d: lib.latest(d.task))
 _f("agg_task_client", "SELECT state, count(*) AS n FROM task GROUP BY 1", lambda d: d.task.groupBy("state").agg(F.count("*").alias("n")))
-_f("agg_download_summary", "SELECT count(*) AS total, count(attachment) AS downloaded, count(*) - count(attachment) AS failed FROM item", lambda d: d.item.agg(F.count("*").alias("total"), F.count("attachment").alias("downloaded"), (F.count("*") - F.count("attachment")).alias("failed")))
-_f("agg_extraction_meta", _NAMED + " SELECT doc_id, count(*) AS entities, count(lat) AS with_coordinates, count(*) FILTER (entity_type IN ('LOC', 'GPE')) AS places FROM e GROUP BY 1",
-   lambda d: _named(d).groupBy("doc_id").agg(F.count("*").alias("entities"), F.count("lat").alias("with_coordinates"), F.count_if(c("entity_type").isin("LOC", "GPE")).alias("places")))
 _f("agg_entity_types", "SELECT entity_type, count(*) AS n FROM site GROUP BY 1", lambda d: d.site.groupBy("entity_type").agg(F.count("*").alias("n")))
 _f("agg_distinct_sections", "SELECT DISTINCT section FROM site", lambda d: d.site.select("section").distinct())
 _f("agg_location_sites", "SELECT latitude, longitude, list(id ORDER BY id) AS sites FROM site GROUP BY 1, 2", lambda d: d.site.groupBy("latitude", "longitude").agg(F.sort_array(F.collect_list("id")).alias("sites")))
@@ -417,7 +378,6 @@ def _section_scores(d):
     return _classed(d).select("doc_id", "span_idx", "class", tx.quality(c("text"))["overall_score"].alias("o")).groupBy("doc_id", "class").agg(F.max_by("o", "span_idx").alias("score"))
 
 
-_f("agg_avg_quality", _SCORED + " SELECT doc_id, round(avg(score), 5) AS quality FROM z GROUP BY 1", lambda d: _section_scores(d).groupBy("doc_id").agg(F.round(F.avg("score"), 5).alias("quality")))
 _f("agg_section_quality", _SCORED + " SELECT doc_id, count(*) AS sections, count(*) FILTER (score < 0.7) AS low FROM z GROUP BY 1", lambda d: _section_scores(d).groupBy("doc_id").agg(F.count("*").alias("sections"), F.count_if(c("score") < 0.7).alias("low")))
 
 # --- coordinates -------------------------------------------------------------------------
@@ -440,8 +400,6 @@ _f("coord_quality", None, lambda d: _parsed(d).select("item_id", "entity_idx", c
 _f("coord_token_patterns", "SELECT item_id, entity_idx, text FROM ctext WHERE style IN (1, 2)", lambda d: d.coordinate_text.withColumn("r", coords.parse(c("text"))["rule"]).filter(c("r").startswith("labelled")).select("item_id", "entity_idx", "text"))
 _RULE = "CASE style WHEN 0 THEN 'pair' WHEN 1 THEN 'labelled' WHEN 2 THEN 'labelled_reversed' WHEN 3 THEN 'parentheses' WHEN 4 THEN 'brackets' WHEN 5 THEN 'degrees' WHEN 6 THEN 'minutes' WHEN 7 THEN 'seconds' WHEN 8 THEN 'direction' ELSE 'degrees' END"
 _f("coord_ruler_patterns", f"SELECT {_RULE} AS rule, count(*) AS n FROM ctext GROUP BY 1", lambda d: d.coordinate_text.groupBy(coords.parse(c("text"))["rule"].alias("rule")).agg(F.count("*").alias("n")))
-_f("span_longest_nonoverlap", "SELECT item_id, entity_idx, 1 AS spans FROM ctext", lambda d: d.coordinate_text.select("item_id", "entity_idx", F.size(coords.find(c("text"))).alias("spans")))
-_f("coord_extract_regex", None, lambda d: d.coordinate_text.withColumn("p", coords.parse(tx.clean_symbols(c("text")))).select("item_id", "entity_idx", c("p.lat").alias("lat"), c("p.lon").alias("lon")))
 
 # --- entities ----------------------------------------------------------------------------
 
@@ -455,18 +413,6 @@ def _sentence_docs(d):
 
 _SD = ", sd AS (SELECT item_id AS doc_id, entity_idx AS span_idx, 'NATION_' || (item_id % 25) AS n, name, 'The site is located 10 km north of Paris. Samples were collected in NATION_' || (item_id % 25) || ' near Lake ' || name || ' as in Fig. 2 and Table S1.' AS text FROM site)"
 _f("sent_split", None, lambda d: d.raw("documents").select("doc_id", F.posexplode(tx.sentences(c("text"))).alias("idx", "s")).select("doc_id", "idx", "s.start", "s.end", c("s.text").alias("text")))
-_f("ctx_sentence", _SD + " SELECT doc_id, span_idx, 'Samples were collected in ' || n || ' near Lake ' || name || ' as in Fig. 2 and Table S1.' AS context FROM sd",
-   lambda d: _sentence_docs(d).select("doc_id", "span_idx", F.filter(tx.sentences(c("text")), lambda s: s["text"].contains("Samples"))[0]["text"].alias("context")))
-_f("ent_multiword", _SD + " SELECT doc_id, span_idx, n AS name FROM sd", lambda d: _names(d, _sentence_docs(d)).select("doc_id", "span_idx", "name"))
-_f("ent_ner", _SD + " SELECT doc_id, span_idx, n AS name, 0.95::DOUBLE AS confidence FROM sd", lambda d: _names(d, _sentence_docs(d)).select("doc_id", "span_idx", "name", "confidence"))
-_f("rel_regex", _SD + " SELECT doc_id, span_idx, unnest(['10 km north of Paris', 'near Lake Site']) AS name FROM sd",
-   lambda d: ex._entities(_sentence_docs(d), ex.spans_of(tx.RELATIONS)(c("text")), "SPATIAL_RELATION", 0.85, 1).select("doc_id", "span_idx", F.trim("name").alias("name")))
-_f("rel_parse_parts", _SD + " SELECT doc_id, span_idx, 10.0::DOUBLE AS distance, 'km' AS unit, 'north' AS direction, 'Paris' AS anchor FROM sd",
-   lambda d: _sentence_docs(d).select("doc_id", "span_idx", *[F.regexp_extract("text", "(?i)" + tx.RELATIONS[0], i + 1).cast("double" if i == 0 else "string").alias(n) for i, n in enumerate(("distance", "unit", "direction", "anchor"))]))
-_f("ent_study_site", None, lambda d: ex.extract_entities(_sentence_docs(d), []).filter("entity_type = 'STUDY_SITE'").select("doc_id", "span_idx", "name"))
-_f("ent_contextual", None, lambda d: ex.extract_entities(_sentence_docs(d), []).filter("entity_type = 'CONTEXTUAL_LOCATION'").select("doc_id", "span_idx", "name"))
-_f("ref_table", _SD + " SELECT doc_id, span_idx, 'Table S1' AS ref FROM sd", lambda d: _sentence_docs(d).select("doc_id", "span_idx", F.explode(F.regexp_extract_all("text", F.lit(r"(?i)((?:Supplementary\s+)?Table\s+S?\s?\d+[A-Z]?)"), F.lit(1))).alias("ref")))
-_f("ref_figure", _SD + " SELECT doc_id, span_idx, 'Fig. 2' AS ref FROM sd", lambda d: _sentence_docs(d).select("doc_id", "span_idx", F.coalesce(*[F.nullif(F.regexp_extract("text", p, 0), F.lit("")) for p in (r"(?i)fig(?:ure|\.)?\s*\d+[a-z]?", r"(?i)table\s*\d+", r"(?i)appendix\s*\w+")]).alias("ref")))
 _GW = "[" + ", ".join(f"'{w}'" for w in sorted(tx.GEO_WORDS)) + "]"
 _f("kw_geo", _SD + f" SELECT doc_id, span_idx, list_distinct_sorted AS words FROM (SELECT doc_id, span_idx, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda w: list_contains({_GW}, w)))) AS list_distinct_sorted FROM sd)",
    lambda d: _sentence_docs(d).select("doc_id", "span_idx", F.sort_array(F.array_distinct(F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: w.isin(*sorted(tx.GEO_WORDS))))).alias("words")))
@@ -492,13 +438,6 @@ _f("ctx_quality", "SELECT id, least(round(CASE WHEN length(context) > 50 THEN 0.
    lambda d: d.site.select("id", F.round(_ctx_quality(c("context"), c("context"), c("entity_idx")), 6).alias("quality")))
 
 
-def _names(d, s):
-    names = [r[0] for r in d.gazetteer.select("name").orderBy("name").collect()]  # the vocabulary, a small dimension
-    import re
-    p = r"\b(?:" + "|".join(re.escape(n) for n in sorted(names, key=len, reverse=True)) + r")\b"
-    return ex._entities(s, ex.spans_of([p])(c("text")), "GPE", 0.95, 2)
-
-
 # --- confidence --------------------------------------------------------------------------
 
 _MULT = "CASE " + " ".join(f"WHEN lower(trim(section)) = '{k}' THEN {m}::DOUBLE" for k, m in tx.SECTION_KEYS) + " " + " ".join(f"WHEN contains(lower(trim(section)), '{k}') OR contains('{k}', lower(trim(section))) THEN {m}::DOUBLE" for k, m in tx.SECTION_KEYS) + " ELSE 1::DOUBLE END"
@@ -547,9 +486,6 @@ _f("adp_study_sites", _CAND + " SELECT item_id, site_rank, site_rank <= 10 AS is
 _f("adp_method", "SELECT id, CASE WHEN entity_type = 'COORDINATE' THEN CASE WHEN contains(context, 'Table') THEN 'table_parsing' ELSE 'regex' END WHEN entity_type IN ('LOC', 'GPE') THEN 'geocoded' ELSE 'ner' END AS method FROM site", lambda d: d.site.select("id", ex.method_of().alias("method")))
 _f("adp_source", "SELECT id, CASE WHEN contains(context, 'Table') THEN 'table' ELSE 'text' END AS source FROM site", lambda d: d.site.select("id", ex.source_of().alias("source")))
 _f("adp_section", "SELECT id, CASE WHEN section IN ('abstract', 'methods', 'results') THEN section ELSE 'other' END AS section FROM site", lambda d: d.site.select("id", ex.section_of().alias("section")))
-_f("adp_validation", "SELECT id, round(CASE WHEN item_id % 2 = 0 THEN least(confidence + 0.1, 1.0) ELSE confidence END, 3)::DOUBLE AS v FROM site",
-   lambda d: d.site.withColumn("info", F.create_map(F.lit("cluster_0"), F.lit(1), F.lit("total_clusters"), 2 - (c("item_id") % 2).cast("int"))).select("id", F.round(F.when(F.array_max(F.map_values("info")) > 1, F.least(c("confidence") + 0.1, F.lit(1.0))).otherwise(c("confidence")), 3).alias("v")))
-_f("adp_name", None, lambda d: d.site.select("id", ex.site_name().alias("site_name")))
 _f("loc_dedup", "SELECT DISTINCT latitude, longitude FROM site", lambda d: ex.deduplicated_locations(d.site).select("latitude", "longitude"))
 _f("graph_nodes", f"SELECT 'item_' || id AS node, 'item' AS type, {_LABEL} AS label FROM item UNION ALL SELECT 'tag_' || id, 'tag', name FROM tag", lambda d: lib.nodes(d.item, d.tag))
 _f("graph_build", "SELECT 'item_' || item_id AS source, 'tag_' || tag_id AS target FROM link", lambda d: lib.edges(d.link, d.item, d.tag))
@@ -566,8 +502,6 @@ _f("graph_neighborhood", "SELECT 'tag_' || tag_id AS target FROM link WHERE item
 
 _f("crud_item", "SELECT id, CASE WHEN id % 10 = 0 THEN 'New ' || id ELSE title END AS title, item_type FROM item WHERE id % 13 <> 0",
    lambda d: lib.without(lib.overlay(d.item.select("id", "title", "item_type"), d.item.filter("id % 10 = 0").select("id", F.concat(F.lit("New "), c("id").cast("string")).alias("title")), "id"), d.item.filter("id % 13 = 0"), "id"))
-_f("crud_site_manual", "SELECT id, method, is_manual FROM site UNION ALL SELECT 'new-' || id, 'manual', true FROM item WHERE id % 100 = 0",
-   lambda d: d.site.select("id", "method", "is_manual").unionByName(d.item.filter("id % 100 = 0").select(F.concat(F.lit("new-"), c("id").cast("string")).alias("id"), F.lit("manual").alias("method"), F.lit(True).alias("is_manual"))))
 _f("crud_site_update", "SELECT id, CASE WHEN item_id % 10 = 0 THEN 1.5 ELSE latitude END::DOUBLE AS latitude, is_manual OR item_id % 10 = 0 AS is_manual, CASE WHEN item_id % 10 = 0 THEN 'manual' ELSE method END AS method FROM site",
    lambda d: lib.overlay(d.site.select("id", "latitude", "is_manual", "method"), d.site.filter("item_id % 10 = 0").select("id", F.lit(1.5).alias("latitude"), F.lit(True).alias("is_manual"), F.lit("manual").alias("method")).distinct(), "id"))
 _f("crud_site_patch_legacy", "SELECT id, CASE WHEN item_id % 10 = 1 THEN 1.0 ELSE confidence END::DOUBLE AS confidence FROM site",
@@ -581,11 +515,250 @@ _f("crud_user", f"SELECT id FROM item WHERE owner_id <> {ME}", lambda d: d.item.
 _f("op_reextract", "SELECT item_id, name FROM site WHERE item_id % 4 <> 1 UNION ALL SELECT id, 'again' FROM item WHERE id % 4 = 1",
    lambda d: lib.replace_group(d.site.select("item_id", "name"), d.item.filter("id % 4 = 1").select(c("id").alias("item_id"), F.lit("again").alias("name")), "item_id"))
 
+# --- sources and sinks, continued ----------------------------------------------------------
+
+_PAGES = "SELECT id, key, title, item_type FROM item WHERE id % 9 <> 0"
+
+
+def _item_pages(d):
+    """Pages of 100 items as JSON, a ninth of them children."""
+    r = F.struct("key", F.lit(1).alias("version"), F.struct("key", F.when(c("id") % 9 == 0, "parent").alias("parentItem"), c("item_type").alias("itemType"), "title").alias("data"))
+    return d.item.select((c("id") / 100).cast("bigint").alias("page"), r.alias("r")).groupBy("page").agg(F.to_json(F.collect_list("r")).alias("json"))
+
+
+@q("SELECT key, title, item_type FROM item WHERE id % 9 <> 0")
+def src_zotero(d):
+    return src.imported_items(src.pages_of_json(_item_pages(d), "json")).select("key", "title", "item_type")
+
+
+@q("SELECT CAST(id AS VARCHAR) AS key, name, CASE WHEN id % 5 <> 0 THEN CAST(id % 5 AS VARCHAR) END AS parent, CAST(id % 7 AS INT) AS items FROM tag")
+def src_zotero_collections(d):
+    key = c("id").cast("string")
+    r = F.struct(key.alias("key"), F.lit(1).alias("version"), F.struct(key.alias("key"), "name", F.when(c("id") % 5 != 0, (c("id") % 5).cast("string")).alias("parentCollection")).alias("data"),
+                 F.struct((c("id") % 7).cast("int").alias("numItems")).alias("meta"))
+    pages = d.tag.groupBy((c("id") % 3).alias("page")).agg(F.to_json(F.collect_list(r)).alias("json"))
+    return src.collections(src.pages_of_json(pages, "json", src.COLLECTION))
+
+
+@q("SELECT id, id % 3 <> 0 AS is_pdf FROM item WHERE attachment IS NOT NULL")
+def src_zotero_file(d):
+    body = F.concat(F.when(c("id") % 3 == 0, "<html>").otherwise("%PDF-1.7 "), "title").cast("binary")
+    return src.checked(d.item.filter("attachment is not null").select("id", body.alias("content"))).select("id", "is_pdf")
+
+
+def _lines(raw: bytes):
+    """A parser of plain text: a block a line."""
+    return [("", x) for x in raw.decode("utf-8").split("\n")]
+
+
+@q("""SELECT doc_id, CAST(CASE WHEN ok THEN i - 1 ELSE 0 END AS INT) AS span_idx, CASE WHEN ok THEN ls[i] END AS text, CASE WHEN NOT ok THEN 'too little text' END AS error FROM (
+  SELECT *, unnest(range(1, CASE WHEN ok THEN len(ls) + 1 ELSE 2 END)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls, length(trim(replace(text, chr(10), ' '))) >= 10 AND
+  len(list_filter(regexp_extract_all(text, '[\\p{L}\\p{M}\\p{N}_]+'), lambda w: regexp_full_match(w, '[a-zA-Z]{2,}'))) >= 5 AS ok FROM documents WHERE text IS NOT NULL))""")
+def src_pdf(d):
+    """The documents as files, read by a parser."""
+    files = d.raw("documents").filter("text is not null").select(c("doc_id").alias("path"), c("text").cast("binary").alias("content"))
+    return src.parsed(files, [_lines]).select(c("path").alias("doc_id"), "span_idx", "text", "error")
+
+
+@q("SELECT name AS text, 'nation' AS category, priority FROM gazetteer UNION ALL SELECT 'spare', 'none', 1.0 FROM tag WHERE false")
+def src_vocab(d):
+    found = d.gazetteer.select(c("name").alias("text"), F.lit("nation").alias("category"), "priority")
+    return src.or_else(found, d.spark.createDataFrame([("spare", "none", 1.0)], "text string, category string, priority double"))
+
+
+@q("SELECT item_id % 16 AS bucket, count(*) AS n, round(sum(confidence), 6) AS total FROM site GROUP BY 1")
+def sink_db(d):
+    """Sites written by bucket, one bucket twice as after a retry, and read back."""
+    lib.shared(d.spark)
+    path = f"{d.spark.sparkContext.getCheckpointDir()}/sites-{uuid.uuid4().hex}"
+    sites = d.site.select("id", "confidence", (c("item_id") % 16).alias("bucket"))
+    src.write_sites(sites, path)
+    src.write_sites(sites.filter("bucket = 3"), path)
+    return d.spark.read.parquet(path).groupBy(c("bucket").cast("bigint").alias("bucket")).agg(F.count("*").alias("n"), F.round(F.sum("confidence"), 6).alias("total"))
+
+
+@q("SELECT id, name, latitude, longitude FROM site")
+def sink_csv(d):
+    """Sites written as CSV with a header and read back."""
+    lib.shared(d.spark)
+    path = f"{d.spark.sparkContext.getCheckpointDir()}/csv-{uuid.uuid4().hex}"
+    src.write_csv(d.site.select("id", "name", "latitude", "longitude"), path)
+    return d.spark.read.schema("id string, name string, latitude double, longitude double").option("header", True).csv(path)
+
+
+# --- projections, filters and joins, continued ---------------------------------------------
+
+@q("""SELECT i.id, i.title, s.ids AS site_ids, s.lats AS site_latitudes, s.lons AS site_longitudes, t.tags, k.names AS creators FROM item i
+LEFT JOIN (SELECT item_id, list(id ORDER BY id) AS ids, list(latitude ORDER BY id) AS lats, list(longitude ORDER BY id) AS lons FROM site GROUP BY 1) s ON s.item_id = i.id
+LEFT JOIN (SELECT item_id, list(tag_id ORDER BY tag_id) AS tags FROM link GROUP BY 1) t ON t.item_id = i.id
+LEFT JOIN (SELECT item_id, list(last_name ORDER BY last_name) AS names FROM creator GROUP BY 1) k ON k.item_id = i.id""")
+def proj_item_public(d):
+    one = lambda df, *cs: df.groupBy(c("item_id").alias("id")).agg(F.sort_array(F.collect_list(F.struct(*cs))).alias("x"))
+    pick = lambda k: F.transform("x", lambda x: x[k])
+    s = one(d.site, "id", "latitude", "longitude").select("id", pick("id").alias("site_ids"), pick("latitude").alias("site_latitudes"), pick("longitude").alias("site_longitudes"))
+    t, k = one(d.link, "tag_id").select("id", pick("tag_id").alias("tags")), one(d.creator, "last_name").select("id", pick("last_name").alias("creators"))
+    return d.item.select("id", "title").join(s, "id", "left").join(t, "id", "left").join(k, "id", "left")
+
+
+@q("""SELECT t.id, t.name, l.items, l.titles FROM tag t LEFT JOIN (SELECT tag_id, list(item_id ORDER BY item_id) AS items, list(title ORDER BY item_id) AS titles
+FROM link JOIN item ON item.id = item_id GROUP BY 1) l ON l.tag_id = t.id""")
+def proj_tag_public(d):
+    l = d.link.join(d.item.select(c("id").alias("item_id"), "title"), "item_id").groupBy(c("tag_id").alias("id")).agg(F.sort_array(F.collect_list(F.struct("item_id", "title"))).alias("x"))
+    return d.tag.join(l, "id", "left").select("id", "name", F.transform("x", lambda x: x["item_id"]).alias("items"), F.transform("x", lambda x: x["title"]).alias("titles"))
+
+
+def _styled(name, sql, col):
+    _f(name, f"SELECT id, {sql} AS v FROM site", lambda d: d.site.select("id", col().alias("v")))
+
+
+_styled("proj_node_color", "CASE entity_type WHEN 'COORDINATE' THEN '#d32f2f' WHEN 'GPE' THEN '#1976d2' ELSE '#9e9e9e' END", lambda: F.when(c("entity_type") == "COORDINATE", "#d32f2f").when(c("entity_type") == "GPE", "#1976d2").otherwise("#9e9e9e"))
+_styled("proj_edge_color", "CASE method WHEN 'regex' THEN '#1976d2' WHEN 'ner' THEN '#43a047' ELSE '#9e9e9e' END", lambda: F.when(c("method") == "regex", "#1976d2").when(c("method") == "ner", "#43a047").otherwise("#9e9e9e"))
+_styled("proj_edge_width", "round(1 + 3 * confidence, 6)", lambda: F.round(1 + 3 * c("confidence"), 6))
+_f("flt_item_by_id", "SELECT id, title FROM item WHERE id BETWEEN 1 AND 400 AND owner_id = (SELECT min(owner_id) FROM item WHERE id BETWEEN 1 AND 400)",
+   lambda d: d.item.filter("id between 1 and 400").join(F.broadcast(d.item.filter("id between 1 and 400").agg(F.min("owner_id").alias("me"))), c("owner_id") == c("me")).select("id", "title"))
+_f("flt_papers_store", "SELECT id FROM item WHERE (contains(lower(title), 'medium') OR contains(lower(coalesce(abstract_note, '')), 'status p') OR id IN (SELECT item_id FROM creator WHERE contains(lower(last_name), '00007'))) "
+   "AND journal = 'J. Land. 3' AND id IN (SELECT item_id FROM creator WHERE contains(lower(last_name), '1'))",
+   lambda d: lib.papers(d.item.withColumn("abstract_note", F.concat(c("abstract_note"), F.lit(""))), d.creator, None, "1", "J. Land. 3").transform(
+       lambda x: lib.papers(x, d.creator.filter(F.lower("last_name").contains("00007")).withColumn("last_name", F.lit("medium status p")), "medium").unionByName(
+           lib.papers(x, d.creator.limit(0), "status p")).distinct()).select("id"))
+_f("flt_confidence", "SELECT id FROM site WHERE entity_type = 'COORDINATE' OR confidence >= 0.8", lambda d: ex.confident(d.site, 0.8).select("id"))
+_f("join_location_exact", ", l AS (SELECT latitude, longitude, min(id) AS location_id FROM site GROUP BY 1, 2), w AS (SELECT DISTINCT latitude, longitude FROM site WHERE item_id % 7 = 0) SELECT w.latitude, w.longitude, location_id FROM w JOIN l USING (latitude, longitude)",
+   lambda d: d.site.filter("item_id % 7 = 0").select("latitude", "longitude").distinct().join(d.site.groupBy("latitude", "longitude").agg(F.min("id").alias("location_id")), ["latitude", "longitude"]))
+
+
+@q(_NAMED + ", asked AS (SELECT DISTINCT lower(name) AS n FROM e), k AS (SELECT n, lat, lon FROM asked LEFT JOIN gazetteer g ON lower(g.name) = n) SELECT e.id, k.lat, k.lon FROM e JOIN k ON k.n = lower(e.name)")
+def geo_cache(d):
+    """Each name is looked up once, hits and misses alike, and joined back."""
+    e = _named(d).withColumn("n", F.lower("name"))
+    known = e.select("n").distinct().join(d.gazetteer.select(F.lower("name").alias("n"), c("lat").alias("glat"), c("lon").alias("glon")), "n", "left")
+    return e.join(known, "n").select("id", c("glat").alias("lat"), c("glon").alias("lon"))
+
+
+@q("SELECT i.id AS doc_id, g.lat AS bias_lat, g.lon AS bias_lon FROM item i JOIN gazetteer g ON g.name = 'NATION_' || (i.id % 30)")
+def geo_title_bias(d):
+    titles = d.item.select(c("id").alias("doc_id"), F.concat(F.lit("A survey of NATION_"), (c("id") % 30).cast("string"), F.lit(" and NATION_1, with a map")).alias("title"))
+    unknown = titles.filter("doc_id % 30 < 25")  # of the others the second name would count
+    return ex.title_bias(unknown, d.gazetteer, _known(d))
+
+
+# --- aggregates, continued -----------------------------------------------------------------
+
+_HALF = lambda s, n, k: f"CAST((2 * {s} + {10 ** (6 - k)} * {n}) // ({2 * 10 ** (6 - k)} * {n}) AS DOUBLE) / {10 ** k}"
+_MICRO = lambda x: f"CAST(sum(CAST(round({x} * 1000000) AS BIGINT)) AS BIGINT)"
+_METHODS = ", ".join(f"count(*) FILTER (method = '{m}') AS n_{m}" for m in lib.METHODS)
+_f("agg_user_summary", f"""SELECT owner_id, total_items, items_with_sites, total_sites, round(100.0::DOUBLE * items_with_sites / total_items, 1) AS coverage,
+coalesce({_HALF("cc", "total_sites", 3)}, 0) AS avg_confidence, coalesce({_HALF("vv", "total_sites", 3)}, 0) AS avg_validation, {", ".join(f"CAST(coalesce(n_{m}, 0) AS BIGINT) AS n_{m}" for m in lib.METHODS)} FROM (
+SELECT owner_id, count(*) AS total_items, count(n) AS items_with_sites, CAST(coalesce(sum(n), 0) AS BIGINT) AS total_sites, CAST(sum(cc) AS BIGINT) AS cc, CAST(sum(v) AS BIGINT) AS vv, {", ".join(f"sum(n_{m}) AS n_{m}" for m in lib.METHODS)}
+FROM item LEFT JOIN (SELECT item_id, count(*) AS n, {_MICRO("confidence")} AS cc, {_MICRO("validation")} AS v, {_METHODS} FROM site GROUP BY 1) s ON s.item_id = item.id GROUP BY owner_id)""", lambda d: lib.user_summary(d.item, d.site))
+_f("agg_item_stats", f"SELECT item_id, count(*) AS total, count(*) FILTER (is_manual) AS manual, count(*) FILTER (NOT is_manual) AS automatic, {_HALF(_MICRO('confidence'), 'count(*)', 3)} AS avg_confidence, {_METHODS} FROM "
+   "(SELECT * REPLACE (CASE WHEN entity_idx = 6 THEN 'table_parsing' WHEN is_manual AND entity_idx = 5 THEN 'manual' ELSE method END AS method) FROM site) GROUP BY 1",
+   lambda d: lib.site_stats(d.site.withColumn("method", F.when(c("entity_idx") == 6, "table_parsing").when(c("is_manual") & (c("entity_idx") == 5), "manual").otherwise(c("method"))), "item_id"))
+_f("agg_avg_quality", _SCORED + f" SELECT doc_id, {_HALF(_MICRO('score'), 'count(*)', 5)} AS quality FROM z GROUP BY 1", lambda d: _section_scores(d).groupBy("doc_id").agg(lib.exact_mean("score", 5).alias("quality")))
+_LATEST = "(SELECT task_id, arg_max(state, (ts, event_id)) AS state FROM task GROUP BY task_id)"
+_STATUS = ("count(*) AS total, count(*) FILTER (state = 'PENDING') AS pending, count(*) FILTER (state = 'STARTED') AS started, count(*) FILTER (state = 'RETRY') AS retrying, count(*) FILTER (state = 'REVOKED') AS revoked, "
+           "count(*) FILTER (state IN ('SUCCESS', 'FAILURE', 'REVOKED')) AS ready, count(*) FILTER (state = 'SUCCESS') AS successful, count(*) FILTER (state = 'FAILURE') AS failed")
+_f("agg_batch_task_status", f"SELECT {_STATUS} FROM {_LATEST}", lambda d: lib.batch_status(lib.latest(d.task)))
+_CANCEL = "SELECT task_id, CASE WHEN task_id % {m} = 0 AND state IN ('PENDING', 'STARTED', 'RETRY') THEN 'REVOKED' ELSE state END AS state FROM " + _LATEST
+_f("task_cancel_batch", _CANCEL.format(m=3), lambda d: lib.cancelled(lib.latest(d.task), d.task.filter("task_id % 3 = 0")))
+_f("task_cancel", _CANCEL.format(m=1000003).replace("task_id % 1000003 = 0", "task_id = 8"), lambda d: lib.cancelled(lib.latest(d.task), d.task.filter("task_id = 8")))
+_f("agg_download_summary", "SELECT count(*) AS total, count(attachment) FILTER (id % 3 <> 0) AS downloaded, count(attachment) FILTER (id % 3 = 0) AS skipped, count(*) - count(attachment) AS failed FROM item",
+   lambda d: d.item.agg(F.count("*").alias("total"), F.count_if(c("attachment").isNotNull() & (c("id") % 3 != 0)).alias("downloaded"), F.count_if(c("attachment").isNotNull() & (c("id") % 3 == 0)).alias("skipped"), F.count_if(c("attachment").isNull()).alias("failed")))
+_f("agg_extraction_meta", _CC + """, n AS (SELECT item_id, count(DISTINCT section) AS sections, count(*) AS entities, count(latitude) AS with_coordinates, count(*) FILTER (entity_type IN ('LOC', 'GPE')) AS places FROM site GROUP BY 1),
+k AS (SELECT item_id, count(DISTINCT root) AS clusters, count(*) AS points FROM cc GROUP BY 1) SELECT n.item_id, sections, entities, with_coordinates, places, CASE WHEN points > 1 THEN clusters ELSE 0 END AS clusters FROM n LEFT JOIN k ON k.item_id = n.item_id""",
+   lambda d: d.site.groupBy("item_id").agg(F.count_distinct("section").alias("sections"), F.count("*").alias("entities"), F.count("latitude").alias("with_coordinates"), F.count_if(c("entity_type").isin("LOC", "GPE")).alias("places")).join(
+       ex.cluster_info(d.site.withColumnRenamed("latitude", "lat").withColumnRenamed("longitude", "lon"), "item_id", "id").select("item_id", c("info")["total_clusters"].cast("bigint").alias("k")), "item_id", "left")
+   .select("item_id", "sections", "entities", "with_coordinates", "places", F.coalesce("k", F.lit(0).cast("bigint")).alias("clusters")))
+
+# --- entities in sentences that vary with the rows -------------------------------------------
+
+
+def _known(d):
+    return [r[0] for r in d.gazetteer.select("name").orderBy("name").collect()]  # a small dimension; ex.join_names is for large ones
+
+
+_WAYS = ("north", "south", "east", "west")
+
+
+def _varied(d):
+    k, a, b = (c("item_id") % 90 + 1).cast("string"), (c("item_id") % 25).cast("string"), (c("entity_idx") % 25).cast("string")
+    way = F.element_at(F.array(*map(F.lit, _WAYS)), c("entity_idx") % 4 + 1)
+    ref = F.element_at(F.array(F.concat(F.lit("Fig. "), k, F.lit("A")), F.concat(F.lit("Table "), k), F.lit("Appendix B2")), (c("item_id") % 3 + 1).cast("int"))
+    text = F.concat(F.lit("The site lies "), k, F.lit(" km "), way, F.lit(" of NATION_"), a, F.lit(". Data were collected near NATION_"), b, F.lit(" (see "), ref, F.lit("). Great Barrier Reef data are older."))
+    return d.site.select(c("item_id").alias("doc_id"), c("id").alias("span_idx"), F.lit("methods").alias("section"), text.alias("text"))
+
+
+_VD = (", vd AS (SELECT item_id AS doc_id, id AS span_idx, item_id % 90 + 1 AS k, ['north', 'south', 'east', 'west'][entity_idx % 4 + 1] AS way, 'NATION_' || (item_id % 25) AS a, 'NATION_' || (entity_idx % 25) AS b, "
+       "[NULL, 'Table ' || (item_id % 90 + 1), 'Appendix B2'][item_id % 3 + 1] AS other, item_id % 3 AS m FROM site), vt AS (SELECT *, coalesce(other, 'Fig. ' || k || 'A') AS ref FROM vd)")
+
+
+def _found(d, *kinds, rows=None, **more):
+    return ex.entities_of(_varied(d) if rows is None else rows, [x for x in ex.built_in(_known(d), **more) if x.kind in kinds]).select("doc_id", "span_idx", "name", "entity_type", "confidence", "context")
+
+
+_f("ent_ner", _VD + " SELECT doc_id, span_idx, name, 0.95::DOUBLE AS confidence FROM (SELECT *, unnest([a, b]) AS name FROM vd)", lambda d: _found(d, "GPE").select("doc_id", "span_idx", "name", "confidence"))
+_f("ctx_sentence", _VD + " SELECT doc_id, span_idx, name, context FROM (SELECT doc_id, span_idx, unnest([a, b]) AS name, unnest(['The site lies ' || k || ' km ' || way || ' of ' || a || '.', 'Data were collected near ' || b || ' (see ' || ref || ').']) AS context FROM vt)",
+   lambda d: _found(d, "GPE").select("doc_id", "span_idx", "name", "context"))
+_f("ent_multiword", _VD + " SELECT doc_id, span_idx, 'Great Barrier Reef' AS name, 0.85::DOUBLE AS confidence FROM vd", lambda d: _found(d, "MULTIWORD_LOCATION").select("doc_id", "span_idx", "name", "confidence"))
+_f("ent_custom_locations", _VD + " SELECT doc_id, span_idx, name FROM (SELECT *, unnest(CASE WHEN a = 'NATION_3' AND b = 'NATION_3' THEN [a, b, 'Great Barrier Reef'] WHEN a = 'NATION_3' THEN [a, 'Great Barrier Reef'] WHEN b = 'NATION_3' THEN [b, 'Great Barrier Reef'] ELSE ['Great Barrier Reef'] END) AS name FROM vd)",
+   lambda d: _found(d, "MULTIWORD_LOCATION", custom=["nation_3"]).select("doc_id", "span_idx", "name"))
+_f("ent_study_site", _VD + " SELECT doc_id, span_idx, b AS name, 0.9::DOUBLE AS confidence FROM vd", lambda d: _found(d, "STUDY_SITE").filter("name like 'NATION%'").select("doc_id", "span_idx", "name", "confidence"))
+_f("ent_contextual", _VD + " SELECT doc_id, span_idx, a AS name, 0.75::DOUBLE AS confidence FROM vd", lambda d: _found(d, "CONTEXTUAL_LOCATION").select("doc_id", "span_idx", "name", "confidence"))
+_f("rel_token", _VD + " SELECT doc_id, span_idx, name FROM (SELECT *, unnest([k || ' km ' || way || ' of ' || a, 'near ' || b]) AS name FROM vd)", lambda d: _found(d, "SPATIAL_RELATION").select("doc_id", "span_idx", "name"))
+
+
+def _regex_only(d):
+    return ex.entities_of(_varied(d), [ex.Extractor("SPATIAL_RELATION", 0.85, ex.Patterns(["(?i)" + re.sub(r"[(](?![?])", "(?:", p) for p in tx.RELATIONS]))])
+
+
+_f("rel_regex", _VD + " SELECT doc_id, span_idx, name FROM (SELECT *, unnest([k || ' km ' || way || ' of NATION', 'near NATION']) AS name FROM vd)", lambda d: _regex_only(d).select("doc_id", "span_idx", "name"))
+_f("rel_parse_parts", _VD + " SELECT doc_id, span_idx, CAST(k AS DOUBLE) AS distance, 'km' AS unit, way AS direction, 'NATION' AS anchor FROM vd",
+   lambda d: _varied(d).select("doc_id", "span_idx", *[F.regexp_extract("text", "(?i)" + tx.RELATIONS[0], i + 1).cast("double" if i == 0 else "string").alias(n) for i, n in enumerate(("distance", "unit", "direction", "anchor"))]))
+_f("ent_transformer", _VD + " SELECT doc_id, span_idx, name, 0.5::DOUBLE AS confidence FROM (SELECT *, unnest([a, b]) AS name FROM vd)",
+   lambda d: ex.entities_of(_varied(d), [ex.Extractor("LOC", 0.5, _tagger)]).select("doc_id", "span_idx", "name", "confidence"))
+_f("ent_join_names", _VD + " SELECT doc_id, span_idx, name, count(*) AS n FROM (SELECT doc_id, span_idx, unnest([a, b]) AS name FROM vd) GROUP BY 1, 2, 3", lambda d: ex.join_names(_varied(d), d.gazetteer))
+
+
+def _tagger(text):
+    """Stands for a trained tagger: any function from a text to spans."""
+    return [m.span() for m in re.finditer(r"NATION_\d+", text)]
+
+
+_f("ref_table", _VD + " SELECT doc_id, span_idx, ref FROM vt WHERE m = 1", lambda d: _varied(d).select("doc_id", "span_idx", F.explode(F.regexp_extract_all("text", F.lit(tx.TABLE_REF), F.lit(1))).alias("ref")))
+_f("ref_figure", _VD + " SELECT doc_id, span_idx, ref FROM vt", lambda d: _varied(d).select("doc_id", "span_idx", tx.figure_ref(c("text")).alias("ref")))
+_f("span_longest_nonoverlap", "SELECT item_id, entity_idx, CAST(entity_idx % 3 + 1 AS INT) AS spans FROM ctext", lambda d: d.coordinate_text.select("item_id", "entity_idx", F.size(coords.find(F.array_join(F.array_repeat("text", (c("entity_idx") % 3 + 1).cast("int")), " then at "))).alias("spans")))
+_COORD_TEXT = lambda d: d.coordinate_text.select(c("item_id").alias("doc_id"), c("entity_idx").alias("span_idx"), F.lit("methods").alias("section"), F.concat(F.lit("It rained. We worked at "), c("text"), F.lit(" in May. It was dry.")).alias("text"))
+_EXTRACTED = f", cp AS ({_CP}) SELECT item_id AS doc_id, entity_idx AS span_idx, lat + 0.0::DOUBLE AS lat, lon + 0.0::DOUBLE AS lon, 'We worked at ' || text || ' in May.' AS context FROM cp WHERE NOT (lat = 0 AND lon = 0)"
+
+
+def _extracted(d, rows):
+    plus = lambda x: F.when(F.round(x, 6) == 0, 0.0).otherwise(F.round(x, 6))
+    e = ex.extract_entities(rows, []).filter("entity_type = 'COORDINATE'")
+    return e.select("doc_id", "span_idx", plus(c("lat")).alias("lat"), plus(c("lon")).alias("lon"), "context")
+
+
+_f("coord_extract_regex", _EXTRACTED, lambda d: _extracted(d, _COORD_TEXT(d)))
+_f("adp_validation", "SELECT id, round(CASE WHEN item_id % 2 = 0 THEN least(confidence + 0.1, 1.0) ELSE confidence END, 3)::DOUBLE AS v FROM site",
+   lambda d: d.site.withColumn("info", F.create_map(F.lit("cluster_0"), F.lit(1), F.lit("total_clusters"), 2 - (c("item_id") % 2).cast("int"))).select("id", ex.validation_score(c("confidence"), c("info")).alias("v")))
+_f("adp_name", "SELECT id, CASE WHEN entity_type <> 'COORDINATE' THEN substr(name, 1, 100) WHEN m <> '' THEN m ELSE 'Site at ' || name END AS site_name FROM (SELECT *, regexp_extract(context, '(?i)(?:station|location|site)\\s+([A-Z]\\w*(?:\\s+[A-Z]\\w*)*)', 1) AS m FROM site)",
+   lambda d: d.site.select("id", ex.site_name().alias("site_name")))
+_f("conf_apply", f"SELECT id, round(least(greatest((confidence * {_MULT} + {_CTX}) * {_TYPE} * CASE WHEN entity_type = 'STUDY_SITE' THEN 1.3 ELSE 1 END, 0), 1), 6)::DOUBLE AS score FROM site",
+   lambda d: tx.scored(d.site).select("id", F.round("confidence", 6).alias("score")))
+_f("crud_site_manual", "SELECT id, method, section, confidence, is_manual FROM site UNION ALL SELECT 'new-' || id, 'manual', 'other', 1.0::DOUBLE, true FROM item WHERE id % 100 = 0",
+   lambda d: d.site.select("id", "method", "section", "confidence", "is_manual").unionByName(lib.manual_sites(d.item.filter("id % 100 = 0").select(
+       F.concat(F.lit("new-"), c("id").cast("string")).alias("id"), c("id").alias("item_id"), c("title").alias("name"), F.lit(1.0).alias("latitude"), F.lit(2.0).alias("longitude"))).select("id", "method", "section", "confidence", "is_manual")))
+_COUNTED = "SELECT item_id AS creator_item, count(*) AS n FROM creator WHERE item_id % 6 <> 0 GROUP BY 1 UNION ALL SELECT id, 1 FROM item WHERE id % 6 = 0"
+_f("crud_creator", _COUNTED, lambda d: lib.replace_group(d.creator.select("item_id", "last_name"), d.item.filter("id % 6 = 0").select(c("id").alias("item_id"), F.lit("New").alias("last_name")), "item_id").groupBy(c("item_id").alias("creator_item")).agg(F.count("*").alias("n")))
+_f("crud_relation", "SELECT item_id, tag_id FROM link WHERE NOT (item_id % 4 = 0 AND tag_id = 2)", lambda d: d.link.join(d.item.filter("id % 4 = 0").select(c("id").alias("item_id"), F.lit(2).alias("tag_id")), ["item_id", "tag_id"], "left_anti"))
+_f("crud_collection", "SELECT id, CASE WHEN id % 5 = 0 THEN 'Renamed ' || id ELSE name END AS name FROM tag WHERE id % 11 <> 0",
+   lambda d: lib.without(lib.overlay(d.tag, d.tag.filter("id % 5 = 0").select("id", F.concat(F.lit("Renamed "), c("id").cast("string")).alias("name")), "id"), d.tag.filter("id % 11 = 0"), "id"))
+
 
 @q()
 def extract_pipeline(d):
-    """Flagship: study sites of all documents and of the methods sentences about the library's items."""
-    names = [r[0] for r in d.gazetteer.select("name").orderBy("name").collect()]  # the vocabulary, a small dimension
+    """Flagship: study sites of all documents, of the methods sentences about the library's items, and of their
+    coordinates and tables, with the items' titles as geocoding bias."""
     docs = d.section.unionByName(_sentence_docs(d).select((-1 - c("doc_id")).alias("doc_id"), c("span_idx").cast("int").alias("span_idx"), "heading", "text"))
     text = d.coordinate_text.select((-1 - c("item_id")).alias("doc_id"), (c("entity_idx") + 100).cast("int").alias("span_idx"), F.lit("Study area").alias("heading"), F.concat(F.lit("We worked at "), c("text"), F.lit(".")).alias("text"))
-    return ex.extract_pipeline(docs.unionByName(text), d.gazetteer, names)
+    tables = _text_tables(d).select((-1 - c("item_id")).alias("doc_id"), F.lit(0).alias("table_idx"), "tbl")
+    titles = d.item.select((-1 - c("id")).alias("doc_id"), F.concat(F.lit("A survey of NATION_"), (c("id") % 30).cast("string")).alias("title"))
+    return ex.extract_pipeline(docs.unionByName(text), d.gazetteer, _known(d), tables, titles)

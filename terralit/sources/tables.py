@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
 from functools import cached_property
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 HEADINGS = ("Study area", "Field methods and data", "Data collection", "Abstract", "Results", "Discussion", "Conclusion", "Introduction", "References")
@@ -148,11 +151,33 @@ PRELUDE = _head + ("section AS (SELECT doc_id" + _tail) % "', '".join(HEADINGS)
 
 # --- other sources and sinks -------------------------------------------------------------
 
-def library_json(spark: SparkSession, path: str) -> DataFrame:
-    """Bibliographic JSON: one row per top-level item with its creators; children are left out."""
-    schema = ("key string, version int, data struct<key:string,parentItem:string,itemType:string,title:string,abstractNote:string,date:string,DOI:string,"
-              "url:string,creators:array<struct<creatorType:string,firstName:string,lastName:string>>>")
-    return imported_items(spark.read.schema(schema).option("multiLine", True).json(path))
+ITEM = ("key string, version int, data struct<key:string,parentItem:string,itemType:string,title:string,abstractNote:string,date:string,DOI:string,"
+        "url:string,creators:array<struct<creatorType:string,firstName:string,lastName:string>>>")
+COLLECTION = "key string, version int, data struct<key:string,name:string,parentCollection:string>, meta struct<numItems:int>"
+
+
+def library_json(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
+    """Bibliographic JSON, one file a page: one row per top-level item with its creators; children are left out.  limit
+    keeps the first of the keys."""
+    return first_items(imported_items(spark.read.schema(ITEM).option("multiLine", True).json(path)), limit)
+
+
+def first_items(items: DataFrame, limit: int | None) -> DataFrame:
+    return items if limit is None else items.orderBy("key").limit(limit)
+
+
+def pages_of_json(pages: DataFrame, column: str, schema: str = ITEM) -> DataFrame:
+    """Rows of the records of a column of JSON arrays, as a paged interface gives them."""
+    return pages.select(F.explode(F.from_json(F.col(column), f"array<struct<{_fields(schema)}>>")).alias("r")).select("r.*")
+
+
+def _fields(schema: str) -> str:
+    return ",".join(part.replace(" ", ":", 1) for part in schema.split(", "))
+
+
+def collections(raw: DataFrame) -> DataFrame:
+    """Collections: key, name, parent and number of items."""
+    return raw.select("key", F.col("data.name").alias("name"), F.col("data.parentCollection").alias("parent"), F.coalesce(F.col("meta.numItems"), F.lit(0)).alias("items"))
 
 
 def imported_items(raw: DataFrame) -> DataFrame:
@@ -162,19 +187,64 @@ def imported_items(raw: DataFrame) -> DataFrame:
 
 
 def attachments(spark: SparkSession, path: str) -> DataFrame:
-    """Files with whether their first bytes are those of a PDF."""
-    return spark.read.format("binaryFile").load(path).select("path", "length", F.col("content"), (F.substring("content", 1, 4) == F.lit(b"%PDF")).alias("is_pdf"))
+    """Files with whether their first bytes are those of a PDF; the contents are read for that only."""
+    return checked(spark.read.format("binaryFile").load(path)).select("path", "length", "is_pdf")
+
+
+def checked(files: DataFrame) -> DataFrame:
+    return files.withColumn("is_pdf", F.coalesce(F.substring("content", 1, 4) == F.lit(b"%PDF"), F.lit(False)))
+
+
+PARSED = "array<struct<heading:string,text:string>>"
+
+
+def parsed(files: DataFrame, parsers: list[Callable[[bytes], list[tuple[str, str]]]]) -> DataFrame:
+    """files (path, content) -> (path, span_idx, heading, text, error): the blocks of the first parser that reads a file
+    and whose text is that of a document (10 characters and 5 words at least).  A file that none reads has one
+    row with the last error.  Parsers are functions of the bytes; OCR fits in as one more."""
+    @F.pandas_udf(f"blocks {PARSED}, error string")
+    def read(contents: pd.Series) -> pd.DataFrame:
+        rows = []
+        for raw in contents:
+            blocks, error = None, "no content" if raw is None else "no parser"
+            for parse in parsers if raw is not None else ():
+                try:
+                    got = list(parse(bytes(raw)))
+                    text = "\n\n".join(t for _, t in got)
+                    if len(text.strip()) >= 10 and len(re.findall(r"\b[a-zA-Z]{2,}\b", text)) >= 5:
+                        blocks, error = [{"heading": h, "text": t} for h, t in got], None
+                        break
+                    error = "too little text"
+                except Exception as e:  # whatever a parser raises, the next has its turn
+                    error = f"{type(e).__name__}: {e}"
+            rows.append((blocks, error))
+        return pd.DataFrame(rows, columns=["blocks", "error"])
+
+    p = files.select("path", read("content").alias("p"))
+    return (p.select("path", F.posexplode_outer("p.blocks").alias("span_idx", "b"), F.col("p.error").alias("error"))
+            .select("path", F.coalesce("span_idx", F.lit(0)).alias("span_idx"), "b.heading", "b.text", "error"))
+
+
+def parsed_files(spark: SparkSession, path: str, parsers: list) -> DataFrame:
+    """parsed() over the files of a folder."""
+    return parsed(spark.read.format("binaryFile").load(path), parsers)
 
 
 def vocabulary(spark: SparkSession, path: str, fallback: list[tuple[str, str, float]]) -> DataFrame:
     """Phrases (text, category, priority) of a JSON-lines file, or the fallback where it has none."""
     schema = "text string, category string, priority double"
-    got = spark.read.schema(schema).json(path).filter("text is not null")
-    return spark.createDataFrame(fallback, schema) if got.isEmpty() else got
+    return or_else(spark.read.schema(schema).json(path).filter("text is not null"), spark.createDataFrame(fallback, schema))
+
+
+def or_else(found: DataFrame, fallback: DataFrame) -> DataFrame:
+    """found, or fallback if it has no row, without a job at definition: one row tells which."""
+    some = found.agg((F.count("*") > 0).alias("__some"))
+    return found.unionAll(fallback.crossJoin(F.broadcast(some)).filter("not __some").drop("__some"))
 
 
 def write_sites(sites: DataFrame, path: str) -> None:
-    """Result rows by item; writing an item's rows again replaces them and leaves the others."""
+    """Result rows by bucket of items; writing a bucket again replaces it and leaves the others, so a repeated task
+    changes nothing."""
     sites.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
 
