@@ -338,8 +338,10 @@ def _live(sizes: np.ndarray, t: int) -> int:
 def scores(p, x: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Emissions (T, LABELS - 1, N) of the lanes x (T, N), longest first: of each B, then of each I, less that of O.
     A lane takes part as long as it has characters, so nothing of the others and no padding gets into
-    its states."""
+    its states.  Training leaves float64 weights; all is multiplied in float32, as mixed types make numpy convert
+    the states at each step."""
     H, (T, n) = HIDDEN, x.shape
+    p = {k: w.astype(np.float32, copy=False) for k, w in p.items()}
     out = np.zeros((T, LABELS - 1, n), np.float32)
     live = [_live(sizes, t) for t in range(T)]
     one, half = np.float32(1), np.float32(0.5)

@@ -1,3 +1,5 @@
+import numpy as np
+
 from terralit.llm import pii
 
 FAR = "Plain words of prose go on here and there without end. " * 12
@@ -51,3 +53,12 @@ def test_lanes_do_not_mix_and_doubt_misses_none(monkeypatch):
         with monkeypatch.context() as m:
             m.setattr(pii, "doubtful", lambda e, *_: __import__("numpy").arange(e.shape[2]))
             assert pii.find(texts, p) == together
+
+
+def test_scores_take_weights_of_either_precision_alike():
+    r = np.random.default_rng(3)
+    wide = {k: w.astype(float) * 1.1 for k, w in pii._init(r).items()}
+    sizes = np.array([90, 90, 41, 7])
+    x = np.where(np.arange(90)[:, None] < sizes, r.integers(1, pii.CLASSES, (90, 4)), 0)
+    e = pii.scores(wide, x, sizes)
+    assert e.dtype == np.float32 and np.array_equal(e, pii.scores({k: w.astype(np.float32) for k, w in wide.items()}, x, sizes))
